@@ -1,11 +1,13 @@
 """The queries of the training-data operators, and the SQL they are held against."""
 
-from tidewater.llm import chat_format, decontaminate, quality_ratio, sharding
+from tidewater.llm import bpe_trie, chat_format, decontaminate, quality_ratio, sharding, simhash_golay
 
 QUERIES = {
     "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
     "op5_quality_ratio": quality_ratio.op5_quality_ratio,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_bpe_trie": bpe_trie.op8_bpe_trie,
+    "op10_simhash_golay": simhash_golay.op10_simhash_golay,
 }
 ORACLES = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_chat_format": chat_format.OP7_SQL}
