@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewater.session import load
 
@@ -183,14 +186,16 @@ def map_encoded(docs: DataFrame, path: str, schema: str, make: Callable[[TrieEnc
     """doc_id of each row, and what `make` gives for the ids of its text; null text is the empty one."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
+            ids, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
             for part in in_chunks(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64"), **make(bpe, bpe.encode(texts[part]))})
+                made = make(bpe, bpe.encode(texts[part]))
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[part.start : part.stop], **made}, to_arrow_schema(wanted))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {schema}")
+    wanted = StructType.fromDDL(f"doc_id long, {schema}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, wanted)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL they are held against."""
 
-from tidewater.llm import bpe_trie, chat_format, decontaminate, quality_ratio, sharding, simhash_golay
+from tidewater.llm import bpe_trie, chat_format, decontaminate, quality_ratio, sharding, simhash_golay, suffix_dedup
 
 QUERIES = {
     "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_bpe_trie": bpe_trie.op8_bpe_trie,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_golay": simhash_golay.op10_simhash_golay,
 }
 ORACLES = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_chat_format": chat_format.OP7_SQL}

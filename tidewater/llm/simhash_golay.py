@@ -7,6 +7,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +51,12 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and `fp` (the 64 bits as a signed long) of each row; whole texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t) for t in batch["text"].fillna("")), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            fps = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def nearest_codewords() -> np.ndarray:
