@@ -1,8 +1,22 @@
 """The queries of the training-data operators, and the SQL they are held against."""
 
-from tidewater.llm import bpe_trie, chat_format, decontaminate, quality_ratio, sharding, simhash_golay, suffix_dedup
+from tidewater.llm import (
+    bpe_trie,
+    chat_format,
+    decontaminate,
+    language_id,
+    quality_ratio,
+    sharding,
+    simhash_golay,
+    suffix_dedup,
+    token_rollup,
+    url_filter,
+)
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_token_rollup": token_rollup.op2_token_rollup,
+    "op3_url_trees": url_filter.op3_url_trees,
     "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
     "op5_quality_ratio": quality_ratio.op5_quality_ratio,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -11,4 +25,8 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_golay": simhash_golay.op10_simhash_golay,
 }
-ORACLES = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_chat_format": chat_format.OP7_SQL}
+ORACLES = {
+    "op2_token_rollup": token_rollup.OP2_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
+    "op7_chat_format": chat_format.OP7_SQL,
+}
