@@ -8,7 +8,7 @@ each other and share an anchor are filed as one record of 50 to 76 bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,14 +22,14 @@ from tidewater.session import load
 MATCH, ANCHOR = 50, 24
 SPAN = MATCH - ANCHOR + 1
 #: Bytes of text that a task works on at once; longer documents are cut into overlapping pieces.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Positions take the lower bits when anchors are compared, hashes the upper.
 PLACE_BITS = 28
 #: Odd multipliers for hashing.
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def cut(docs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
+def cut(docs: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
     """Pieces of about PIECE bytes: (document, offset in it, start in the piece) of each segment, and the bytes."""
     where: list[tuple[int, int, int]] = []
     parts: list[bytes] = []
@@ -140,7 +140,7 @@ def nominate(batches: Iterator[pd.DataFrame], n_buckets: int) -> Iterator[pd.Dat
     them at once (rows with `doc`); to its bucket a piece sends each key but once."""
     for batch in batches:
         names = batch["_tw_key"].to_numpy(np.int64)
-        for doc, _, starts, data in cut([t.encode("utf-8", "surrogatepass") for t in batch["text"]]):
+        for doc, _, starts, data in cut(t.encode("utf-8", "surrogatepass") for t in batch["text"]):
             segment, _, _, _, key = records(starts, data)
             owner = doc[segment]
             order = np.lexsort((owner, key))
@@ -204,7 +204,7 @@ def file_records(batches: Iterator[pd.DataFrame], n_shards: int) -> Iterator[pd.
         told = [np.unique(unpack_keys(b"".join(x))) for x in batch["told"]]
         wanted = np.concatenate([*told, np.empty(0, np.uint64)])
         wanted |= np.repeat(np.arange(len(told), dtype=np.uint64), list(map(len, told))) << np.uint64(40)
-        for doc, offset, starts, data in cut([t.encode("utf-8", "surrogatepass") for t in batch["text"]]):
+        for doc, offset, starts, data in cut(t.encode("utf-8", "surrogatepass") for t in batch["text"]):
             segment, begin, end, anchor, key = records(starts, data)
             full = key | doc[segment].astype(np.uint64) << np.uint64(40)
             at = np.minimum(np.searchsorted(wanted, full), max(0, len(wanted) - 1))
@@ -328,7 +328,7 @@ def search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: Keys that a bucket gets on average.
-KEYS_PER_BUCKET = 3_000_000
+KEYS_PER_BUCKET = 2_000_000
 NO_ID = (1 << 63) - 1
 
 
@@ -352,7 +352,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     firsts = firsts.select(F.xxhash64("_tw_id", "h", "g").alias("_tw_key"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, 2 * n_bytes // (SPAN + 1) // KEYS_PER_BUCKET)
-    n_shards = 4 * n_buckets
+    n_shards = 8 * n_buckets
 
     def keys(batches):
         return nominate(batches, n_buckets)
