@@ -284,14 +284,47 @@ def candidates(content: list[bytes], keys: np.ndarray, anchors: np.ndarray) -> n
     return np.flatnonzero(keep)
 
 
-def search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The spans to remove that a partition's shards show."""
+def unpack_spans(docs: np.ndarray, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of each span."""
+    pairs = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
+    return np.repeat(docs, [len(x) // 8 for x in spans]), pairs[:, 0], pairs[:, 1]
+
+
+def pack_spans(docs: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int) -> pd.DataFrame:
+    """A row for each bucket of documents: their spans, merged."""
+    rows: dict[int, list[tuple[int, bytes]]] = {}
+    for doc, data in span_rows(docs, start, end):
+        rows.setdefault(doc % n_buckets, []).append((doc, data))
+    packed = []
+    for bucket, each in rows.items():
+        names, data = zip(*each)
+        head = np.array([len(names)], "<u4").tobytes() + np.array(names, "<i8").tobytes()
+        packed.append((bucket, head + np.array([len(x) for x in data], "<u4").tobytes() + b"".join(data)))
+    return pd.DataFrame(packed, columns=["bucket", "data"])
+
+
+def gather_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each document of a partition's buckets: all its spans, merged."""
+    docs, spans = [np.empty(0, np.int64)], []
+    for batch in batches:
+        for data in batch["data"]:
+            n = int.from_bytes(data[:4], "little")
+            docs.append(np.frombuffer(data, "<i8", n, 4))
+            ends = 4 + 12 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4 + 8 * n), dtype=np.int64)
+            spans += [data[a:b] for a, b in zip([4 + 12 * n, *ends[:-1].tolist()], ends.tolist())]
+    rows = list(span_rows(*unpack_spans(np.concatenate(docs), spans)))
+    if rows:
+        yield pd.DataFrame(rows, columns=["doc", "_tw_spans"])
+
+
+def search_shards(batches: Iterator[pd.DataFrame], n_buckets: int) -> Iterator[pd.DataFrame]:
+    """The spans to remove that a partition's shards show, and those that are known already."""
     parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     content: list[bytes] = []
     for batch in batches:
-        told = batch[batch["direct"]]
-        if len(told):
-            yield told[["doc", "data"]]
+        known = batch[batch["direct"]]
+        if len(known):
+            yield pack_spans(*unpack_spans(known["doc"].to_numpy(np.int64), known["data"].tolist()), n_buckets)
         for data in batch.loc[~batch["direct"], "data"]:
             n, at = int.from_bytes(data[:4], "little"), 4
             for part, kind in zip(parts, ("<i8", "<i8", "<u4", "<u4", "u1", "u1")):
@@ -322,9 +355,7 @@ def search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         which = stay[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         begin = place[which] + np.repeat(offset, times)
         docs, start, end = [*docs, names[which]], [*start, begin], [*end, begin + MATCH]
-    rows = list(span_rows(*map(np.concatenate, (docs, start, end))))
-    if rows:
-        yield pd.DataFrame(rows, columns=["doc", "data"])
+    yield pack_spans(*map(np.concatenate, (docs, start, end)), n_buckets)
 
 
 #: Keys that a bucket gets on average.
@@ -357,6 +388,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     def keys(batches):
         return nominate(batches, n_buckets)
 
+    def searched(batches):
+        return search_shards(batches, n_buckets)
+
     def filed(batches):
         return file_records(batches, n_shards)
 
@@ -364,22 +398,21 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     told = nominated.repartition(n_buckets, "bucket").mapInPandas(shared_keys, "doc long, data binary")
     told = told.groupBy("doc").agg(F.collect_list("data").alias("told"))
     records_ = tagged.join(told, tagged["_tw_key"] == told["doc"]).drop("doc").mapInPandas(filed, "shard int, direct boolean, doc long, data binary")
-    spans = records_.repartition(n_shards, "shard").mapInPandas(search_shards, "doc long, data binary")
-    spans = spans.groupBy("doc").agg(F.collect_list("data").alias("_tw_spans"))
+    packed = records_.repartition(n_shards, "shard").mapInPandas(searched, "bucket int, data binary")
+    spans = packed.repartition(n_buckets, "bucket").mapInPandas(gather_spans, "doc long, _tw_spans binary")
     marks = firsts.join(spans, firsts["_tw_key"] == spans["doc"], "left").select(
         "_tw_key", "_tw_spans", F.lit(True).alias("_tw_first")
     )
     return tagged.join(marks, "_tw_key", "left")
 
 
-def cut_out(data: bytes, first: bool, spans: list[bytes] | None) -> tuple[bytes, int]:
+def cut_out(data: bytes, first: bool, spans: bytes | None) -> tuple[bytes, int]:
     """What is left of a text, and the number of its removed runs."""
     if not first:
         return (b"", 1) if len(data) >= MATCH else (data, 0)
-    if spans is None or not len(spans):
+    if not spans:
         return data, 0
-    pairs = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
-    _, start, end = merge(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+    start, end = np.frombuffer(spans, "<u4").reshape(-1, 2).T
     kept = [data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)])]
     return b"".join(kept), len(start)
 
