@@ -1,9 +1,9 @@
 """Named queries: each module holds Spark plans beside the DuckDB SQL they are held against."""
 
-from tidewater.plans import corpus
+from tidewater.plans import audit, corpus, messages
 
 QUERIES = {}
 ORACLES = {}
-for _module in (corpus,):
+for _module in (corpus, messages, audit):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.dedup import keep_first, majority, member_count
+from tidewater.operators.split import capped, stratified
 from tidewater.plans.registry import Registry
 from tidewater.session import load
 
@@ -42,3 +44,130 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(first & (F.col("quality") == 1)).alias("n_good"),
         )
     )
+
+
+KEY_SQL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the key of de-duplication instead of the text."""
+    key = F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
+    return load(spark, sf_dir, "documents").select("doc_id", "lang", "source", key.alias("key"))
+
+
+def kept_sql(keys: str, order: str) -> str:
+    return f"""SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn
+      FROM (SELECT doc_id, lang, source, {KEY_SQL} AS key FROM documents)) WHERE rn = 1"""
+
+
+def kept(name: str, keys: list[str], order: list[str], latest: bool = False) -> None:
+    """A keep-first (or keep-last) query; `order` holds SQL expressions that both engines read."""
+    direction = " DESC" if latest else ""
+
+    @R.add(name, kept_sql(", ".join(keys), ", ".join(o + direction for o in order)))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        columns = [F.expr(o).desc() if latest else F.expr(o).asc() for o in order]
+        return keep_first(keyed(spark, sf_dir), keys, columns).select("doc_id", "lang", "source")
+
+
+PRIORITY = "CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END"
+kept("q_dedup_first", ["key"], ["doc_id"])
+kept("q_dedup_last", ["key"], ["doc_id"], latest=True)
+kept("q_dedup_lang", ["lang", "key"], ["doc_id"])
+kept("q_dedup_triple", ["key", "source", "lang"], ["doc_id"])
+kept("q_dedup_best", ["key"], [PRIORITY, "doc_id"])
+
+
+@R.add(
+    "q_leakage_dedup",
+    f"""WITH d AS (SELECT doc_id, lang, source, {KEY_SQL} AS key FROM documents),
+      c AS (SELECT key, lang, count(*) AS n FROM d GROUP BY 1, 2),
+      m AS (SELECT key, lang AS major FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, lang) AS rn FROM c) WHERE rn = 1)
+      SELECT doc_id, lang, source FROM (SELECT d.*, row_number() OVER (PARTITION BY key
+        ORDER BY (lang = major)::INT DESC, {PRIORITY}, doc_id) AS rn FROM d JOIN m USING (key)) WHERE rn = 1""",
+)
+def leakage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(spark, sf_dir)
+    both = docs.join(majority(docs, "key", "lang", "major"), "key")
+    order = [(F.col("lang") == F.col("major")).cast("int").desc(), F.expr(PRIORITY), "doc_id"]
+    return keep_first(both, ["key"], order).select("doc_id", "lang", "source")
+
+
+@R.add(
+    "q_mode",
+    """SELECT source, lang AS major FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS rn
+      FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)) WHERE rn = 1""",
+)
+def mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return majority(load(spark, sf_dir, "documents"), "source", "lang", "major")
+
+
+@R.add("q_semi_join", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = load(spark, sf_dir, "labels").filter("quality = 1")
+    return load(spark, sf_dir, "documents").select("doc_id", "lang").join(good, "doc_id", "left_semi")
+
+
+@R.add("q_anti_join", "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", "lang").join(load(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@R.add(
+    "q_member_count",
+    f"""WITH d AS (SELECT source, {KEY_SQL} AS key FROM documents)
+      SELECT count(*) AS n FROM d WHERE source <> 'src0' AND key IN (SELECT key FROM d WHERE source = 'src0')""",
+)
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(spark, sf_dir)
+    return member_count(docs.filter("source <> 'src0'"), docs.filter("source = 'src0'"), "key")
+
+
+def set_query(name: str, operation: str, sql: str) -> None:
+    @R.add(name, f"SELECT DISTINCT md5(key) AS key FROM (SELECT {KEY_SQL} AS key FROM documents WHERE source = 'src1' {sql} SELECT {KEY_SQL} FROM documents WHERE source = 'src2')")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = keyed(spark, sf_dir)
+        a, b = (docs.filter(F.col("source") == s).select("key") for s in ("src1", "src2"))
+        return getattr(a, operation)(b).distinct()
+
+
+set_query("q_overlap", "intersect", "INTERSECT")
+set_query("q_except", "subtract", "EXCEPT")
+set_query("q_union_distinct", "union", "UNION")
+
+
+@R.add(
+    "q_coverage",
+    f"""SELECT md5(key) AS key, max((lang = 'en')::INT)::INT AS in_en, max((lang = 'fr')::INT)::INT AS in_fr, max((lang = 'de')::INT)::INT AS in_de
+      FROM (SELECT lang, {KEY_SQL} AS key FROM documents) GROUP BY key""",
+)
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).groupBy("key").agg(*(F.max((F.col("lang") == c).cast("int")).alias(f"in_{c}") for c in ("en", "fr", "de")))
+
+
+SEEDED = "md5('42-' || doc_id::VARCHAR), doc_id"
+
+
+@R.add(
+    "q_stratified_split",
+    f"""SELECT doc_id, lang, CASE WHEN n < 3 THEN 'train' WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * (0.8 + 0.1)) THEN 'valid' ELSE 'test' END AS split
+      FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, source ORDER BY {SEEDED}) AS k, count(*) OVER (PARTITION BY lang, source)::DOUBLE AS n FROM documents)""",
+)
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified(load(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id").select("doc_id", "lang", "split")
+
+
+@R.add(
+    "q_balance",
+    f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {SEEDED}) AS k FROM documents)
+      WHERE k <= CASE lang WHEN 'en' THEN 100 WHEN 'fr' THEN 80 WHEN 'de' THEN 60 END""",
+)
+def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capped(load(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", {"en": 100, "fr": 80, "de": 60}, "doc_id")
+
+
+@R.add("q_union_all", "SELECT doc_id AS id, text, lang FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark")
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return docs.unionByName(items, allowMissingColumns=True)
