@@ -17,9 +17,11 @@ SYMBOLS = "#*$%&|<>"
 @dataclass(frozen=True)
 class QualityParams:
     """n_buckets bounds the model, which is all that leaves the executors. least_ratio is the mean
-    log-likelihood ratio per n-gram from which a document is kept."""
+    log-likelihood ratio per n-gram from which a document is kept. trusted_docs bounds the labelled rows
+    that the target is fitted on; the corpus side is always all rows."""
 
     n_buckets: int = 1 << 14
+    trusted_docs: int = 10_000
     smoothing: float = 1.0
     least_ratio: float = -0.1
     least_words: int = 10
@@ -88,13 +90,24 @@ def with_buckets(rows: DataFrame, n_buckets: int) -> DataFrame:
     )
 
 
+def trusted_sample(trusted: DataFrame, params: QualityParams) -> DataFrame:
+    """The distinct ids of `trusted`, or the trusted_docs of them with the least hashes."""
+    ids = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    space, most = 1 << 20, params.trusted_docs
+    # About a fifth more than wanted pass the filter, so that few rows are left to be ordered.
+    share = min(1.0, 1.2 * most / max(ids.count(), 1))
+    place = F.xxhash64("doc_id", F.lit("trusted"))
+    return ids.filter(F.pmod(place, F.lit(space)) < int(share * space)).orderBy(place, "doc_id").limit(most)
+
+
 def fit(docs: DataFrame, trusted: DataFrame, params: QualityParams) -> DataFrame:
     """One row with `ratios`: for each bucket the log of its share in the target over its share in the corpus.
 
-    The corpus is every row of `docs`; the target is those whose doc_id is in `trusted`. Every n-gram of
-    every text counts. Tasks sum their buckets before the shuffle, so it moves n_buckets rows a task.
+    The corpus is every row of `docs`; the target is those whose doc_id is in the sample of `trusted`.
+    Every n-gram of every text counts. Tasks sum their buckets before the shuffle, so it moves n_buckets rows a task.
     """
-    marked = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
+    # A bounded set of ids, so it is broadcast whatever the size of the tables: no text is shuffled.
+    marked = F.broadcast(trusted_sample(trusted, params).withColumn("_trusted", F.lit(1)))
     words = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("_trusted", split_words(F.col("text")).alias("words"))
     placed = with_buckets(words, params.n_buckets)
     grams = placed.select("_trusted", F.explode(F.array("single", "pair")).alias("bucket")).filter("bucket IS NOT NULL")
