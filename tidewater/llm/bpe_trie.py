@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidewater.llm.common import release_memory
 from tidewater.session import load
 
 #: Fixed value: how byte-level tokenizers split a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a task keeps; beyond it the task starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 #: After the rank of every merge; what a token of one byte is made of.
 NEVER, SINGLE = 1 << 60, (-1, -1, -1)
 
@@ -89,7 +90,7 @@ class TrieEncoder:
                 before, right = rank_right + 1, head
             else:
                 break
-        if len(self.valid) >= 2_000_000:
+        if len(self.valid) >= 500_000:
             self.valid.clear()
         self.valid[key] = known
         return known
@@ -146,6 +147,11 @@ class TrieEncoder:
         look = self.encoded.__getitem__
         return [b"".join(map(look, words)) for words in pieces]
 
+    def forget(self) -> None:
+        """Drops what grew with the words seen."""
+        self.encoded.clear()
+        self.valid.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
         parts = map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())
@@ -193,6 +199,8 @@ def map_encoded(docs: DataFrame, path: str, schema: str, make: Callable[[TrieEnc
             for part in in_chunks(texts):
                 made = make(bpe, bpe.encode(texts[part]))
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[part.start : part.stop], **made}, to_arrow_schema(wanted))
+        bpe.forget()
+        release_memory()
 
     wanted = StructType.fromDDL(f"doc_id long, {schema}")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, wanted)

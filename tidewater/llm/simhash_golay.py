@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import release_memory, written
 from tidewater.llm.components import least_reachable
 from tidewater.session import load
 
@@ -179,10 +179,11 @@ def links(distinct: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for at in range(0, len(fps), 10_000):
-                part = fps[at : at + 10_000]
+            for at in range(0, len(fps), 4_000):
+                part = fps[at : at + 4_000]
                 place, key = keys_of(part)
                 yield pd.DataFrame({"key": key, "fp": part[place].view(np.int64)})
+        release_memory()
 
     def tie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_keys, open_fps = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -194,6 +195,7 @@ def links(distinct: DataFrame) -> DataFrame:
             yield tie_runs(open_keys[:done], open_fps[:done])
             open_keys, open_fps = open_keys[done:], open_fps[done:]
         yield tie_runs(open_keys, open_fps)
+        release_memory()
 
     keys = distinct.mapInPandas(emit, "key long, fp long")
     dealt = keys.repartition("key").sortWithinPartitions("key")

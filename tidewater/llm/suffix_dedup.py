@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import release_memory
 from tidewater.llm.suffix_array import permuted_prefixes, suffix_array
 from tidewater.session import load
 
@@ -22,7 +23,7 @@ from tidewater.session import load
 MATCH, ANCHOR = 50, 24
 SPAN = MATCH - ANCHOR + 1
 #: Bytes of text that a task works on at once; longer documents are cut into overlapping pieces.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Positions take the lower bits when anchors are compared, hashes the upper.
 PLACE_BITS = 28
 #: Odd multipliers for hashing.
@@ -386,16 +387,23 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     n_shards = 8 * n_buckets
 
     def keys(batches):
-        return nominate(batches, n_buckets)
+        yield from nominate(batches, n_buckets)
+        release_memory()
+
+    def told_keys(batches):
+        yield from shared_keys(batches)
+        release_memory()
 
     def searched(batches):
-        return search_shards(batches, n_buckets)
+        yield from search_shards(batches, n_buckets)
+        release_memory()
 
     def filed(batches):
-        return file_records(batches, n_shards)
+        yield from file_records(batches, n_shards)
+        release_memory()
 
     nominated = tagged.join(firsts, "_tw_key", "left_semi").mapInPandas(keys, "bucket int, direct boolean, doc long, data binary")
-    told = nominated.repartition(n_buckets, "bucket").mapInPandas(shared_keys, "doc long, data binary")
+    told = nominated.repartition(n_buckets, "bucket").mapInPandas(told_keys, "doc long, data binary")
     told = told.groupBy("doc").agg(F.collect_list("data").alias("told"))
     records_ = tagged.join(told, tagged["_tw_key"] == told["doc"]).drop("doc").mapInPandas(filed, "shard int, direct boolean, doc long, data binary")
     packed = records_.repartition(n_shards, "shard").mapInPandas(searched, "bucket int, data binary")
