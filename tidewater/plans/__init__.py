@@ -1,9 +1,9 @@
 """Named queries: each module holds Spark plans beside the DuckDB SQL they are held against."""
 
-from tidewater.plans import audit, corpus, messages
+from tidewater.plans import alerts, audit, corpus, messages, risk
 
 QUERIES = {}
 ORACLES = {}
-for _module in (corpus, messages, audit):
+for _module in (corpus, messages, audit, risk, alerts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

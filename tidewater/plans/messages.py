@@ -30,11 +30,9 @@ PHRASES = (
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and text: the head of each document with a phrase chosen by its id; every 13th is null."""
+    """id and text: each whole document with a phrase chosen by its id, or the blank phrase alone."""
     phrase = F.array(*map(F.lit, PHRASES))[F.pmod("doc_id", F.lit(len(PHRASES))).cast("int")]
-    text = F.when(F.col("doc_id") % 13 == 0, F.lit(None)).when(F.trim(phrase) == "", phrase).otherwise(
-        F.concat(F.substring("text", 1, 60), F.lit(" "), phrase)
-    )
+    text = F.when(F.trim(phrase) == "", phrase).otherwise(F.concat("text", F.lit(" "), phrase))
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
 
 
@@ -43,7 +41,7 @@ def quoted(s: str) -> str:
 
 
 MESSAGES_SQL = f"""m AS (
-  SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN trim(p) = '' THEN p ELSE substr(text, 1, 60) || ' ' || p END AS text
+  SELECT doc_id AS id, CASE WHEN trim(p) = '' THEN p ELSE text || ' ' || p END AS text
   FROM (SELECT *, [{', '.join(map(quoted, PHRASES))}][doc_id % {len(PHRASES)} + 1] AS p FROM documents))"""
 WORD = r"\p{L}\p{N}_"
 COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
