@@ -17,6 +17,26 @@ SHORTENERS = r"t\.me|wa\.me|bit\.ly|tinyurl\.com|rb\.gy|is\.gd"
 URL_FLAG = r"http[s]?://|www\.|[a-z0-9_]+\.(com|org|net|uz|ru|xyz|top|click|online|site|store)"
 DEVICE_URL_FLAG = URL_FLAG + r"|bit\.ly/|t\.me/|tinyurl\.com/"
 DOUBLE_EXTENSION = r"\.[a-z0-9]{2,4}\.(apk|exe|scr|bat|msi|cmd|vbs|ps1)$"
+#: Endings of suspicious domains; phrases of each intent, in order of precedence.
+SUSPICIOUS_TLDS = (".click", ".xyz", ".top", ".info", ".online", ".site", ".work", ".gift", ".vip", ".shop", ".biz")
+INTENTS = {
+    "REQUEST": (
+        "yuboring", "bering", "ayting", "kiriting", "tasdiqlang", "o'rnating",
+        "send the code", "tell me", "enter the code", "confirm your login", "verify your account",
+        "kodni yuboring", "kodni ayting", "kodni kiriting", "nomerga yuboring",
+        "отправьте код", "введите код", "подтвердите",
+    ),
+    "WARNING": (
+        "bermang", "aytman", "ko'rsatman", "do not share", "never share", "don't give",
+        "hech kimga bermang", "xodimlariga ham", "hich kimg berma", "sir saqlang",
+        "никому не сообщайте", "не передавайте",
+    ),
+    "INFO": (
+        "kodi:", "kod:", "tasdiqlash kodi", "sms kodi", "parol:", "verification code:",
+        "transaksiya", "o'tkazma", "yechildi", "tushum", "balance:", "hisobingizda",
+        "kod подтверждения", "транзакция", "списание",
+    ),
+}
 #: A letter, digit or underscore of any script; \w is ASCII in Spark.
 WORD = r"\p{L}\p{N}_"
 
@@ -123,3 +143,24 @@ def script_language(text: Column) -> Column:
         .when(latin / total >= 0.7, F.when(F.rlike(F.lower(text), F.lit("o['‘ʻ]|g['‘ʻ]")), "uz").otherwise("en"))
         .otherwise("mixed")
     )
+
+
+def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether the text contains one of the phrases; null text does not."""
+    return F.coalesce(reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in phrases)), F.lit(False))
+
+
+def intent(normalized: Column) -> Column:
+    """First intent with a phrase in the text: REQUEST, WARNING, INFO, else UNKNOWN."""
+    first = reduce(lambda case, name: case.when(contains_any(normalized, INTENTS[name]), name), list(INTENTS)[1:], F.when(contains_any(normalized, INTENTS["REQUEST"]), "REQUEST"))
+    return first.otherwise("UNKNOWN")
+
+
+def tld_at_host_end(links: Column) -> Column:
+    """Whether a link ends with a suspicious domain ending, or has one before a slash."""
+    return F.exists(links, lambda u: reduce(Column.__or__, (F.endswith(F.lower(u), F.lit(t)) | F.contains(F.lower(u), F.lit(t + "/")) for t in SUSPICIOUS_TLDS)))
+
+
+def tld_anywhere(links: Column) -> Column:
+    """Whether a suspicious domain ending stands anywhere in a link: the pattern rules' laxer test."""
+    return F.exists(links, lambda u: contains_any(F.lower(u), SUSPICIOUS_TLDS))

@@ -25,6 +25,10 @@ PHRASES = (
     "zero​width “quoted” «text»",
     "t.me/channel and www.site.uz",
     "plain words only",
+    "kodni yuboring",
+    "hech kimga bermang",
+    "verification code: 1234",
+    "go http://a.top.example.com/x",
     "   ",
 )
 
@@ -89,6 +93,18 @@ scalar(
     T.norm_rules,
     COLLAPSE.format(f"translate(lower(translate(translate(coalesce(text, ''), '{T.INVISIBLE}', ''), 'аоесрху', 'aoecpxy')), '''`’', '‘‘‘')"),
 )
+RULES_SQL = COLLAPSE.format(f"translate(lower(translate(translate(coalesce(text, ''), '{T.INVISIBLE}', ''), 'аоесрху', 'aoecpxy')), '''`’', '‘‘‘')")
+
+
+def any_sql(text: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quoted(p)})" for p in phrases) + ")"
+
+
+scalar(
+    "q_intent",
+    lambda c: T.intent(T.norm_rules(c)),
+    "CASE " + " ".join(f"WHEN {any_sql(RULES_SQL, phrases)} THEN '{name}'" for name, phrases in T.INTENTS.items()) + " ELSE 'UNKNOWN' END",
+)
 scalar(
     "q_extract_links",
     lambda c: F.array_join(T.extract_links(F.coalesce(c, F.lit(""))), "|"),
@@ -98,6 +114,15 @@ scalar(
         lambda s: regexp_replace(s, '[^A-Za-z0-9_]$', ''))), lambda s: [s])),
       lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), '|')""",
 )
+LINKS_SQL = rf"""list_concat(regexp_extract_all(coalesce(text, ''), '(?:https?://|www\.|(?:{T.SHORTENERS})/)[A-Za-z0-9./?=&_%#:~-]*[A-Za-z0-9_/]'),
+  list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_-]+\.(?:{'|'.join(T.LINK_TLDS)})(?:[^A-Za-z0-9_]|$)'), lambda s: regexp_replace(s, '[^A-Za-z0-9_]$', '')))"""
+TLD_SQL = "|".join(t[1:] for t in T.SUSPICIOUS_TLDS)
+for _name, _test, _tail in (("q_tld_host", T.tld_at_host_end, "(/|$)"), ("q_tld_anywhere", T.tld_anywhere, "")):
+    scalar(
+        _name,
+        lambda c, test=_test: test(T.extract_links(F.coalesce(c, F.lit("")))),
+        rf"len(list_filter({LINKS_SQL}, lambda u: regexp_matches(lower(u), '\.({TLD_SQL}){_tail}'))) > 0",
+    )
 scalar("q_url_flag", lambda c: F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.lit(T.URL_FLAG)), f"regexp_matches({LOWERED}, '{T.URL_FLAG}')")
 scalar(
     "q_url_flag_device",
