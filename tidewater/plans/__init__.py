@@ -1,9 +1,9 @@
 """Named queries: each module holds Spark plans beside the DuckDB SQL they are held against."""
 
-from tidewater.plans import alerts, audit, corpus, curation, languages, messages, risk
+from tidewater.plans import alerts, audit, corpus, curation, features, languages, messages, risk
 
 QUERIES = {}
 ORACLES = {}
-for _module in (corpus, messages, languages, curation, audit, risk, alerts):
+for _module in (corpus, messages, languages, curation, features, audit, risk, alerts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -54,8 +54,8 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("edge", F.coalesce(edge, F.lit(False)))
 
 
-@R.add("q_metadata_flags", f"WITH {PREPARED_SQL} SELECT * FROM e")
-def metadata_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+@R.add("q_prepared_flags", f"WITH {PREPARED_SQL} SELECT * FROM e")
+def prepared_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir)
 
 
