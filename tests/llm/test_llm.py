@@ -81,6 +81,23 @@ def test_simhash_components(docs, empty):
     assert simhash_golay.classes(empty).count() == 0
 
 
+def test_near_copies_keep_one_row_of_each_class(spark, docs):
+    alone, other = "only here and without an id " * 9, "a second text of its own that no other document has " * 3
+    odd = [
+        (None, alone, "en"), (None, None, "en"), (None, "", "fr"),  # classes without any id
+        (20, other, "en"), (20, other, "en"), (20, other, "de"), (21, other, "en"),  # repeated rows, one with another label
+        (20, BASE, "en"),  # shares an id with the first row of another class
+    ]
+    rows = [(i, t, lang, "s", 0) for i, t, lang in odd]
+    kept = sorted(map(tuple, simhash_golay.keep_first(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    assert len(kept) == 4 and rows[0] in kept and (20, BASE, "en", "s", 0) in kept
+    assert sum(r[1] == other and r[0] == 20 for r in kept) == 1 and sum(not r[1] for r in kept) == 1
+    # Exactly one row of each class, of its smallest doc_id.
+    every = simhash_golay.keep_first(docs)
+    found = {(r["fingerprint"], r["component_id"]) for r in simhash_golay.classes(every).collect()}
+    assert every.count() == len(found) == len({r["component_id"] for r in simhash_golay.classes(docs).collect()})
+
+
 def test_golay_keys_meet_within_four_bits():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**64, 300, dtype=np.uint64)

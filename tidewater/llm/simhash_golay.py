@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import release_memory, written
@@ -48,15 +48,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and `fp` (the 64 bits as a signed long) of each row; whole texts."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, `fp` (the 64 bits as a signed long) and the carried columns (longs) of each row; whole texts."""
+    names = ["doc_id", "fp", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def nearest_codewords() -> np.ndarray:
@@ -229,6 +230,15 @@ def tie_runs(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def named_nodes(prints: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
+    """fp and `name` (a fingerprint that names its class) of each distinct fingerprint; and name and `first`,
+    the smallest value of that column, of each class."""
+    nodes = prints.groupBy("fp").agg(F.min(first).alias("_first"))
+    tied = least_reachable(links(nodes.select("fp")))
+    named = nodes.join(tied, nodes["fp"] == tied["node"], "left").select("fp", "_first", F.coalesce("least", "fp").alias("name"))
+    return named.select("fp", "name"), named.groupBy("name").agg(F.min("_first").alias("first"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, `fingerprint` (16 hex digits) and `component_id` of each row.
 
@@ -238,14 +248,8 @@ def classes(docs: DataFrame) -> DataFrame:
     else has null. Repeated rows give repeated rows; further columns are ignored.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
-    tied = least_reachable(links(nodes.select("fp")))
-    # Components are named by a fingerprint first: its nodes' smallest doc_id is then the class.
-    named = nodes.join(tied, nodes["fp"] == tied["node"], "left").select(
-        "fp", "least_doc", F.coalesce("least", "fp").alias("name")
-    )
-    smallest = named.groupBy("name").agg(F.min("least_doc").alias("component_id"))
-    by_print = named.join(smallest, "name").select("fp", "component_id")
+    named, smallest = named_nodes(prints, F.col("doc_id"))
+    by_print = named.join(smallest, "name").select("fp", F.col("first").alias("component_id"))
     # Hot fingerprints: every node goes once to each slice of the documents.
     n_slices = 16
     sliced = by_print.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
@@ -256,9 +260,24 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each class: that of the smallest doc_id (all rows that have it)."""
-    first = classes(docs).select("component_id").filter("component_id IS NOT NULL").distinct()
-    return docs.join(first, docs["doc_id"] == first["component_id"], "left_semi")
+    """`docs` with one row of each class: that of the smallest doc_id (nulls last), of several such rows that
+    with the smallest key.
+
+    A row's key is 128 bits of hash over all its columns, nulls marked, so that only fully equal rows share
+    one; of these one is kept.
+    """
+    fields = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    keyed = docs.withColumns({f"_tw_k{i}": F.xxhash64(F.lit(i), *fields) for i in (1, 2)})
+    keys = ["_tw_k1", "_tw_k2"]
+    prints = written(fingerprints(keyed, *keys), "fingerprints")
+    _, smallest = named_nodes(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys))
+    firsts = written(smallest.select("first.*").select(*keys), "firsts")
+    repeated = prints.groupBy(*keys).agg(F.count("*").alias("_tw_n")).filter("_tw_n > 1")
+    several = written(firsts.join(repeated, keys, "left_semi"), "several")
+    # Only rows that have equals are grouped, each task's own first; the others' texts are shuffled once at most.
+    alone = keyed.join(firsts.join(several, keys, "left_anti"), keys, "left_semi")
+    grouped = keyed.join(several, keys, "left_semi").dropDuplicates(keys)
+    return alone.select(*docs.columns).unionByName(grouped.select(*docs.columns))
 
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
