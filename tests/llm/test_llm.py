@@ -67,6 +67,24 @@ def test_suffix_dedup(docs, empty):
     assert kept.columns == [*docs.columns, "data"] and kept.filter("doc_id = 2 AND text IS NULL").count() == 1
 
 
+def test_suffix_dedup_of_a_hot_anchor(spark, docs):
+    found = sorted(map(tuple, suffix_dedup.digests(docs, most_records=1).collect()), key=repr)
+    assert found == sorted(removed([(i, t) for i, t, _ in ROWS]), key=repr)
+    # One passage between texts of their own: the records at its edges all differ.
+    own = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(300)]
+    rows = [(i, f"{x} {BASE} {x[::-1]}") for i, x in enumerate(own)] + [(None, own[7]), (7, own[8])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.digests(table, most_records=20).collect()), key=repr) == sorted(removed(rows), key=repr)
+    # No task holds more records of a key than the bound.
+    packed = [suffix_dedup.pack_records([np.array([i]), np.array([i]), np.array([0]), np.array([5 if i % 3 else i]), np.array([0]), np.array([50])], [b"x" * 50]) for i in range(90)]
+    held: list = []
+    batch = lambda part: suffix_dedup.frame([(0, None, x) for x in part], "shard")
+    away = list(suffix_dedup.set_apart((batch(packed[k : k + 9]) for k in range(0, 90, 9)), 2, 10, held))
+    assert sum(len(content) for _, content in held) == 30
+    moved = [x for frame in away for x in frame["data"]]
+    assert sum(len(suffix_dedup.read_records(x)[1]) for x in moved) == 60 and {b for f in away for b in f["bucket"]} == {-1, -2}
+
+
 def test_simhash_components(docs, empty):
     xx = simhash_golay.xxhash
     assert simhash_golay.fingerprint("A b") == xx.xxh64_intdigest(b"a b", 42) and simhash_golay.fingerprint(None) == 0

@@ -237,6 +237,8 @@ def file_records(batches: Iterator[pd.DataFrame], n_shards: int) -> Iterator[pd.
                 yield frame(out, "shard")
 
 
+#: Ids, names, places, keys (their upper 32 bits), anchors and lengths of packed records.
+RECORD = ("<i8", "<i8", "<u4", "<u4", "u1", "u1")
 #: What parts records in a shard's text; bytes follow from 2 up, 0 ends the text.
 APART = 1
 
@@ -308,7 +310,7 @@ def gather_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each document of a partition's buckets: all its spans, merged."""
     docs, spans = [np.empty(0, np.int64)], []
     for batch in batches:
-        for data in batch["data"]:
+        for data in batch.loc[batch["bucket"] >= 0, "data"]:
             n = int.from_bytes(data[:4], "little")
             docs.append(np.frombuffer(data, "<i8", n, 4))
             ends = 4 + 12 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4 + 8 * n), dtype=np.int64)
@@ -318,21 +320,79 @@ def gather_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc", "_tw_spans"])
 
 
-def search_shards(batches: Iterator[pd.DataFrame], n_buckets: int) -> Iterator[pd.DataFrame]:
-    """The spans to remove that a partition's shards show, and those that are known already."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-    content: list[bytes] = []
+def read_records(data: bytes) -> tuple[list[np.ndarray], list[bytes]]:
+    """ids, names, places, keys, anchors and lengths of packed records, and their contents."""
+    n, at = int.from_bytes(data[:4], "little"), 4
+    parts = []
+    for kind in RECORD:
+        parts.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    ends = at + np.cumsum(parts[5], dtype=np.int64)
+    return parts, [data[a:b] for a, b in zip([at, *ends[:-1].tolist()], ends.tolist())]
+
+
+def pack_records(parts: list[np.ndarray], content: list[bytes]) -> bytes:
+    head = [np.array([len(content)], "<u4"), *(x.astype(kind) for x, kind in zip(parts, RECORD))]
+    return b"".join([*(x.tobytes() for x in head), *content])
+
+
+def chosen_records(parts: list[np.ndarray], content: list[bytes], good: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
+    return [x[good] for x in parts], [content[i] for i in np.flatnonzero(good).tolist()]
+
+
+def set_apart(batches: Iterator[pd.DataFrame], n_buckets: int, most: int, held: list) -> Iterator[pd.DataFrame]:
+    """Fills `held` with a partition's records, (parts, contents), but for those of keys with more than `most`:
+    these go on at once, packed, in rows of negative buckets. Spans that are known already go on too."""
+    hot = np.empty(0, np.uint32)
+    fresh = passed = 0
+
+    def recount() -> Iterator[pd.DataFrame]:
+        nonlocal hot, passed
+        values, counts = np.unique(np.concatenate([np.empty(0, np.uint32), *(p[3] for p, _ in held)]), return_counts=True)
+        if (counts > most).any():
+            hot = np.union1d(hot, values[counts > most])
+            out = []
+            for i, (parts, content) in enumerate(held):
+                away = np.isin(parts[3], hot)
+                if away.any():
+                    out.append(pack_records(*chosen_records(parts, content, away)))
+                    held[i] = chosen_records(parts, content, ~away)
+            yield away_rows(out)
+
+    def away_rows(out: list[bytes]) -> pd.DataFrame:
+        nonlocal passed
+        passed += len(out)
+        return pd.DataFrame({"bucket": [-1 - (passed + i) % n_buckets for i in range(len(out))], "data": out})
+
     for batch in batches:
         known = batch[batch["direct"]]
         if len(known):
             yield pack_spans(*unpack_spans(known["doc"].to_numpy(np.int64), known["data"].tolist()), n_buckets)
+        out = []
         for data in batch.loc[~batch["direct"], "data"]:
-            n, at = int.from_bytes(data[:4], "little"), 4
-            for part, kind in zip(parts, ("<i8", "<i8", "<u4", "<u4", "u1", "u1")):
-                part.append(np.frombuffer(data, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            ends = at + np.cumsum(parts[5][-1], dtype=np.int64)
-            content += [data[a:b] for a, b in zip([at, *ends[:-1].tolist()], ends.tolist())]
+            parts, content = read_records(data)
+            away = np.isin(parts[3], hot)
+            if away.any():
+                out.append(pack_records(*chosen_records(parts, content, away)))
+                parts, content = chosen_records(parts, content, ~away)
+            held.append((parts, content))
+            fresh += len(content)
+            if fresh > most:
+                yield from recount()
+                fresh = 0
+        if out:
+            yield away_rows(out)
+    yield from recount()
+
+
+def search_shards(batches: Iterator[pd.DataFrame], n_buckets: int, most: int) -> Iterator[pd.DataFrame]:
+    """The spans to remove that a partition's shards show, and those that are known already; and, in rows of
+    negative buckets, the records of keys that have more than `most`."""
+    held: list[tuple[list[np.ndarray], list[bytes]]] = []
+    yield from set_apart(batches, n_buckets, most, held)
+    parts = list(zip(*(p for p, _ in held)))
+    content = [x for _, each in held for x in each]
+    held.clear()
     if not content:
         return
     ids, names, place, key, anchor, length = (np.concatenate(x) for x in parts)
@@ -359,19 +419,54 @@ def search_shards(batches: Iterator[pd.DataFrame], n_buckets: int) -> Iterator[p
     yield pack_spans(*map(np.concatenate, (docs, start, end)), n_buckets)
 
 
+def records_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records in rows of negative buckets, a row each."""
+    for batch in batches:
+        for data in batch.loc[batch["bucket"] < 0, "data"]:
+            (ids, names, place, *_), content = read_records(data)
+            yield pd.DataFrame({"id": ids, "doc": names, "place": place.astype(np.int64), "content": content})
+
+
+def spans_apart(packed: DataFrame, n_buckets: int) -> DataFrame:
+    """doc and `_tw_more`, the spans to remove, from the records in rows of negative buckets.
+
+    A key of very many records is not held by any task: each 50-byte string (128 bits of hash) is a row, its
+    smallest id is found with partial aggregates, and joined back in slices, since strings may be hot too.
+    """
+    records_ = packed.mapInPandas(records_apart, "id long, doc long, place long, content binary")
+    each = records_.withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("content") - MATCH)))
+    string = F.substring("content", F.col("at") + 1, F.lit(MATCH))
+    each = each.select("id", "doc", (F.col("place") + F.col("at")).alias("start"), *(F.xxhash64(F.lit(i), string).alias(f"s{i}") for i in (1, 2)))
+    shared = each.groupBy("s1", "s2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
+    n_slices = 16
+    shared = shared.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
+    salted = each.withColumn("slice", F.pmod(F.col("doc"), F.lit(n_slices)).cast("int"))
+    hits = salted.join(shared, ["s1", "s2", "slice"]).filter("id > least").select("doc", "start")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            start = batch["start"].to_numpy(np.int64)
+            yield pack_spans(batch["doc"].to_numpy(np.int64), start, start + MATCH, n_buckets)
+
+    found = hits.mapInPandas(pack, "bucket int, data binary").repartition(n_buckets, "bucket")
+    return found.mapInPandas(gather_spans, "doc long, _tw_spans binary").withColumnRenamed("_tw_spans", "_tw_more")
+
+
+#: Records of a key that a task holds at once.
+MOST_RECORDS = 50_000
 #: Keys that a bucket gets on average.
 KEYS_PER_BUCKET = 2_000_000
 NO_ID = (1 << 63) - 1
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
+def find_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFrame:
     """`docs` (text: null as empty) with `_tw_first`, null for a later copy of a whole text, and `_tw_spans`,
     arrays of spans of bytes to remove.
 
     1. Of equal texts all but that of the smallest id go as a whole.
     2. Of the others' keys, those in several documents are found in buckets.
     3. Records under such keys are filed in shards, where suffix arrays show the strings that documents with
-       smaller ids have too.
+       smaller ids have too. Keys with more than most_records go on as rows for each string instead.
     Each text is shuffled once, by a hash of id and text; keys take 5 to 15 bytes of shuffle for 14 bytes of
     text, records 90 bytes each.
     """
@@ -395,7 +490,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         release_memory()
 
     def searched(batches):
-        yield from search_shards(batches, n_buckets)
+        yield from search_shards(batches, n_buckets, most_records)
         release_memory()
 
     def filed(batches):
@@ -407,10 +502,13 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     told = told.groupBy("doc").agg(F.collect_list("data").alias("told"))
     records_ = tagged.join(told, tagged["_tw_key"] == told["doc"]).drop("doc").mapInPandas(filed, "shard int, direct boolean, doc long, data binary")
     packed = records_.repartition(n_shards, "shard").mapInPandas(searched, "bucket int, data binary")
-    spans = packed.repartition(n_buckets, "bucket").mapInPandas(gather_spans, "doc long, _tw_spans binary")
-    marks = firsts.join(spans, firsts["_tw_key"] == spans["doc"], "left").select(
-        "_tw_key", "_tw_spans", F.lit(True).alias("_tw_first")
-    )
+    # Both readers take the same shuffle: neither puts a filter before it.
+    packed = packed.repartition(n_buckets, "bucket")
+    spans = packed.mapInPandas(gather_spans, "doc long, _tw_spans binary")
+    more = spans_apart(packed, n_buckets).withColumnRenamed("doc", "_tw_doc")
+    marks = firsts.join(spans, firsts["_tw_key"] == spans["doc"], "left").join(more, F.col("_tw_key") == F.col("_tw_doc"), "left")
+    both = F.when(F.col("_tw_more").isNull(), F.col("_tw_spans")).when(F.col("_tw_spans").isNull(), F.col("_tw_more"))
+    marks = marks.select("_tw_key", both.otherwise(F.concat("_tw_spans", "_tw_more")).alias("_tw_spans"), F.lit(True).alias("_tw_first"))
     return tagged.join(marks, "_tw_key", "left")
 
 
@@ -420,12 +518,14 @@ def cut_out(data: bytes, first: bool, spans: bytes | None) -> tuple[bytes, int]:
         return (b"", 1) if len(data) >= MATCH else (data, 0)
     if not spans:
         return data, 0
-    start, end = np.frombuffer(spans, "<u4").reshape(-1, 2).T
+    start, end = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64).T
+    if (start[1:] <= end[:-1]).any():
+        _, start, end = merge(np.zeros(len(start), np.int64), start, end)
     kept = [data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)])]
     return b"".join(kept), len(start)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFrame:
     """`docs`, each text without the bytes covered by a 50-byte string that also starts in a document with a
     smaller doc_id.
 
@@ -433,7 +533,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     empty ones empty. Null doc_ids count as larger than all others. Rows with equal doc_ids don't remove
     from each other, and equal rows give equal rows. Other columns stay as they are.
     """
-    found = find_repeats(docs.withColumn("_tw_null", F.col("text").isNull()))
+    found = find_repeats(docs.withColumn("_tw_null", F.col("text").isNull()), most_records)
     fields = docs.schema
     names = docs.columns
 
@@ -449,7 +549,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return found.mapInPandas(run, fields)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFrame:
     """doc_id, bytes, bytes and runs removed, and digest of the bytes left, of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -464,7 +564,7 @@ def digests(docs: DataFrame) -> DataFrame:
             ids, *rest = zip(*rows)
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), **dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), rest))})
 
-    found = find_repeats(docs.select("doc_id", "text"))
+    found = find_repeats(docs.select("doc_id", "text"), most_records)
     return found.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
