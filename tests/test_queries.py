@@ -56,3 +56,21 @@ def test_fusion_cases(spark):
     cases = spark.createDataFrame([(85, 40, 0.0, 0.0, False), (40, 40, 0.9, 0.0, False)], "r int, f int, d double, s double, h boolean")
     risk = [r[0] for r in cases.select(fuse(*(F.col(c) for c in "rfdsh"))["risk"]).collect()]
     assert risk == [60, 70]
+
+
+def test_balance_follows_the_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidewater.plans.curation import QUERIES as CURATION
+
+    # 12,000 rows, far from the shares: 10,000 en (7,000 safe, 3,000 toxic), 1,000 fr, 1,000 of a language that goes.
+    ids = spark.range(12_000).withColumnRenamed("id", "doc_id")
+    lang = F.when(F.col("doc_id") < 10_000, "en").when(F.col("doc_id") < 11_000, "fr").otherwise("es")
+    ids.withColumn("lang", lang).write.parquet(str(tmp_path / "documents.parquet"))
+    ids.select("doc_id", (F.col("doc_id") % 10 >= 3).cast("int").alias("quality"), (F.col("doc_id") % 10 < 3).cast("int").alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = plans.QUERIES["q_balance_shares"](spark, str(tmp_path))
+    by = {r[0]: r[1] for r in kept.groupBy("label").count().collect()}
+    # 6,000 en and 1,000 fr after the first step; of these 7,000 at most .44 safe and .28 toxic.
+    assert by == {"SAFE": 3_080, "DANGEROUS": 1_960} and {r[0] for r in kept.select("lang").distinct().collect()} == {"en", "fr"}
+    ham = CURATION["q_english_ham"](spark, str(tmp_path))
+    assert ham.filter("lang = 'en' AND doc_id % 3 = 0").count() == 2_500 and ham.filter("NOT (lang = 'en' AND doc_id % 3 = 0)").count() == 8_666

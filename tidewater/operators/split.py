@@ -63,6 +63,12 @@ def capped(df: DataFrame, stratum: str, caps: Mapping[str, int], key: str, seed:
     return unranked(ranked(df.filter(F.col(stratum).isin(*caps)), [stratum], key, seed).filter(F.col("_place") <= cap))
 
 
+def share_capped(df: DataFrame, stratum: str, shares: Mapping[str, float], key: str, seed: int = 42) -> DataFrame:
+    """At most such shares of all rows of each stratum, rounded down; strata without a share count among all rows and go."""
+    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col(stratum)]
+    return unranked(ranked(df, [stratum], key, seed).filter(F.col("_place") <= F.floor(F.col("_all") * share)))
+
+
 def flagged(df: DataFrame, flag: Column, key: str, seed: int) -> DataFrame:
     """`df` ranked within the rows with and without a flag (null: without), which is _flag."""
     return ranked(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), ["_flag"], key, seed)

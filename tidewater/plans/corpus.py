@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.dedup import keep_first, majority, member_count
-from tidewater.operators.split import capped, stratified
+from tidewater.operators.split import capped, share_capped, stratified
 from tidewater.plans.registry import Registry
 from tidewater.session import load
 
@@ -166,6 +166,31 @@ def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(load(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", {"en": 100, "fr": 80, "de": 60}, "doc_id")
 
 
+#: The most that each language may have of all rows, then each label of the rows left.
+LANGUAGE_SHARES = {"en": 0.5, "fr": 0.3, "de": 0.2}
+LABEL_SHARES = {"SAFE": 0.44, "SUSPICIOUS": 0.28, "DANGEROUS": 0.28}
+
+
+def share_sql(column: str, shares: dict[str, float]) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {share}::DOUBLE" for name, share in shares.items())
+    return f"k <= floor(n::DOUBLE * CASE {column} {cases} END)"
+
+
+@R.add(
+    "q_balance_shares",
+    f"""WITH l AS (SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'DANGEROUS' WHEN max(quality) = 1 THEN 'SAFE' ELSE 'SUSPICIOUS' END AS label FROM labels GROUP BY doc_id),
+      a AS (SELECT doc_id, lang, label, row_number() OVER (PARTITION BY lang ORDER BY {SEEDED}) AS k, count(*) OVER () AS n FROM documents JOIN l USING (doc_id)),
+      b AS (SELECT doc_id, lang, label FROM a WHERE {share_sql("lang", LANGUAGE_SHARES)}),
+      c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {SEEDED}) AS k, count(*) OVER () AS n FROM b)
+      SELECT doc_id, lang, label FROM c WHERE {share_sql("label", LABEL_SHARES)}""",
+)
+def balance_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.max("toxic") == 1, "DANGEROUS").when(F.max("quality") == 1, "SAFE").otherwise("SUSPICIOUS")
+    labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(label.alias("label"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id")
+    return share_capped(share_capped(docs, "lang", LANGUAGE_SHARES, "doc_id"), "label", LABEL_SHARES, "doc_id")
+
+
 @R.add("q_union_all", "SELECT doc_id AS id, text, lang FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark")
 def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")

@@ -102,6 +102,16 @@ def ham_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.limit_flagged(docs, F.expr("lang = 'en' AND doc_id % 3 = 0"), 100, "doc_id")
 
 
+#: Fixed value: the most safe English rows.
+MOST_ENGLISH_HAM = 2_500
+
+
+@R.add("q_english_ham", f"WITH r AS (SELECT doc_id, lang, {SAFE_ENGLISH} AS flag, {RANKED.format(SAFE_ENGLISH)} FROM documents) SELECT doc_id, lang FROM r WHERE NOT flag OR k <= {MOST_ENGLISH_HAM}")
+def english_ham(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    return S.limit_flagged(docs, F.expr("lang = 'en' AND doc_id % 3 = 0"), MOST_ENGLISH_HAM, "doc_id")
+
+
 #: Named patterns of scam and safe messages, and patterns that are ambiguous.
 PATTERNS = {
     "CVV/Card Request": "(cvv|karta raqam|card number|номер карт)",
