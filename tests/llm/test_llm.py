@@ -214,6 +214,25 @@ def test_language_model(spark, docs):
     assert np.allclose(language_id.gram_counts([long], 4096).sum(), 2 * 8 * 700_000 - 2 * 700_000, rtol=0.01)
 
 
+def test_language_rejection(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(language_id.learn_from(table), language_id.LanguageParams())
+    rng = np.random.default_rng(5)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (900, 2000, 5000)]
+    finnish = (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+        "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokaisella on oikeus elämään, vapauteen ja turvallisuuteen. "
+    )
+    foreign = [*junk, finnish, finnish * 4]
+    told = language_id.predict(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model, 0.1)
+    assert all(r["rejected"] for r in told.collect())
+    kept = language_id.predict(table.filter(language_id.held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")), model, 0.1)
+    assert kept.agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.05
+    # Document frequencies are those of all rows.
+    few = language_id.fit(language_id.learn_from(table), language_id.LanguageParams(per_language=50))
+    assert np.array_equal(few.idf, model.idf)
+
+
 def test_url_rules(spark):
     urls = ["http://a.NET/x", "https://m.example.net/en/1?q", "http://example.net/en", "http://x.example.com/de/1", "http://org/fr/1", "http://xorg/fr/1", "nothing", None, "http://a.net", "ftp://b.org?x=/fr/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

@@ -21,16 +21,23 @@ PIECE = 2 << 20
 PAIR, TRIPLE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
+#: Bytes of the beginnings that rejection distances are fitted on, and the fewest members to fit one on.
+CUTS, FEWEST = (48, 192, 768), 20
+
+
 @dataclass(frozen=True)
 class LanguageParams:
     """per_language bounds the labelled rows that each language's centroids are fitted on; dimensions is a
-    power of two. Documents less similar than least_similarity to every centroid are rejected."""
+    power of two. Documents less similar than least_similarity to every centroid are rejected, and so are
+    those less similar to the nearest than the share `outside` of that centroid's own members, times `slack`."""
 
     per_language: int = 500
     dimensions: int = 4096
     clusters: int = 4
     rounds: int = 10
     least_similarity: float = 0.1
+    outside: float = 0.01
+    slack: float = 0.9
     seed: int = 11
 
 
@@ -89,20 +96,25 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Centroids (unit rows), the language of each, and the idf of each dimension."""
+    """Centroids (unit rows), the language of each, the idf of each dimension, and `least`: the cosine that a
+    text needs for each centroid (row), by the longest of CUTS (column) that it reaches; 0 in front for shorter ones."""
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
+    least: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and cosine (0 to 1) of the nearest centroid; `und` and 0 for texts without a letter."""
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and cosine (0 to 1) of the nearest centroid, and the cosine needed; `und` and 0 for texts
+        without a letter."""
         vectors = unit(np.log1p(gram_counts(texts, len(self.idf))) * self.idf)
         near = vectors @ self.centroids.T
         best = near.argmax(axis=1)
         lettered = np.fromiter((LETTER.search(t) is not None for t in texts), bool, len(texts))
         score = np.where(lettered, np.clip(near[np.arange(len(texts)), best], 0, 1), 0).astype(float)
-        return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())], score
+        sizes = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
+        needed = self.least[best, np.searchsorted(CUTS, sizes, "right")]
+        return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())], score, needed
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -117,9 +129,47 @@ def cluster(vectors: np.ndarray, k: int, rounds: int, rng: np.random.Generator)
     return centroids
 
 
+def document_counts(usable: DataFrame, dimensions: int) -> tuple[np.ndarray, int]:
+    """The number of documents that have each dimension, and of all documents, over all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dimensions + 1, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for at in range(0, len(texts), 256):
+                total[:-1] += (gram_counts(texts[at : at + 256], dimensions) > 0).sum(axis=0)
+            total[-1] += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimensions + 1)), pa.array(total)], ["dimension", "n"])
+
+    summed = usable.select("text").mapInArrow(count, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n"))
+    out = np.zeros(dimensions + 1, np.int64)
+    for r in summed.collect():
+        out[r["dimension"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
+def needed_cosines(cuts: list[np.ndarray], languages: list[np.ndarray], names: list[str], centroids: np.ndarray, params: LanguageParams) -> np.ndarray:
+    """`least` of a model: for each of CUTS a low quantile of the cosines of labelled texts' beginnings of that
+    length with the centroid that is nearest and of their language. Centroids that few are nearest to take all of
+    their language's; where these are few too, that of the cut before."""
+    least = np.zeros((len(names), len(CUTS) + 1))
+    for k, (vectors, labels) in enumerate(zip(cuts, languages)):
+        near = vectors @ centroids.T
+        best = near.argmax(axis=1)
+        nearest, score = np.array(names)[best], near[np.arange(len(near)), best]
+        good = nearest == labels
+        for c in range(len(names)):
+            own = score[(best == c) & good]
+            if len(own) < FEWEST:
+                own = score[(nearest == names[c]) & good]
+            least[c, k + 1] = params.slack * np.quantile(own, params.outside) if len(own) >= FEWEST else least[c, k]
+    return least
+
+
 def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
     """A model of the languages in `labelled` (doc_id, text, lang), from a hashed sample of about per_language
-    rows of each. The sample's counts, not its texts, come to the driver: per_language rows per language.
+    rows of each. The sample's counts, not its texts, come to the driver: per_language rows per language, each
+    whole and by its beginnings. Document frequencies are those of all rows, not of the sample.
     Rows without a label or without a letter aren't used.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -136,16 +186,25 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for at in range(0, len(texts), 256):
-                rows = gram_counts(texts[at : at + 256], dimensions)
                 part = batch.slice(at, 256)
-                packed = [np.minimum(r, 65_535).astype("<u2").tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["lang", "h", "counts"])
-
-    found = sorted(sample.mapInArrow(count, "lang string, h long, counts binary").collect(), key=lambda r: (r["lang"], r["h"]))
-    counts = np.stack([np.frombuffer(r["counts"], "<u2") for r in found]).astype(np.float32)
-    languages = np.array([r["lang"] for r in found])
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    vectors = unit(np.log1p(counts) * idf)
+                for size in (0, *CUTS):
+                    whole = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + 256]]
+                    rows = gram_counts([t[: size or None].decode("utf-8", "ignore") for t in whole], dimensions)
+                    packed = [np.minimum(r, 65_535).astype("<u2").tobytes() if len(t) >= size else None for r, t in zip(rows, whole)]
+                    made = [pa.array([size] * len(rows), pa.int32()), pa.array(packed, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["lang", "h", "size", "counts"])
+
+    counted = sample.mapInArrow(count, "lang string, h long, size int, counts binary").filter("counts IS NOT NULL").collect()
+    counted.sort(key=lambda r: (r["lang"], r["h"]))
+    of_size = {size: [r for r in counted if r["size"] == size] for size in (0, *CUTS)}
+    with_grams, n_docs = document_counts(usable, dimensions)
+    idf = (np.log((1 + n_docs) / (1 + with_grams)) + 1).astype(np.float32)
+
+    def table(size: int) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.frombuffer(b"".join(r["counts"] for r in of_size[size]), "<u2").reshape(-1, dimensions).astype(np.float32)
+        return unit(np.log1p(counts) * idf), np.array([r["lang"] for r in of_size[size]], str)
+
+    vectors, languages = table(0)
     rng = np.random.default_rng(params.seed)
     names: list[str] = []
     centroids = []
@@ -153,12 +212,15 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
         own = cluster(vectors[languages == lang], params.clusters, params.rounds, rng)
         names += [lang] * len(own)
         centroids.append(own)
-    return LanguageModel(names, np.concatenate(centroids).astype(np.float32), idf)
+    joined = np.concatenate(centroids).astype(np.float32)
+    cuts, labels = zip(*(table(size) for size in CUTS))
+    return LanguageModel(names, joined, idf, needed_cosines(cuts, labels, names, joined, params))
 
 
 def predict(docs: DataFrame, model: LanguageModel, least_similarity: float) -> DataFrame:
     """`docs` with lang_pred, score and rejected; from the texts alone.
 
+    Rejected is what is less similar to its nearest centroid than the model needs, or than least_similarity.
     Null texts and texts without a letter are `und`, score 0, rejected. Rows are judged one by one, so
     repeated rows agree. Columns of docs by the names of the new ones are replaced.
     """
@@ -168,13 +230,15 @@ def predict(docs: DataFrame, model: LanguageModel, least_similarity: float) -> D
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
             languages: list[str] = []
-            scores = [np.empty(0)]
+            scores, least = [np.empty(0)], [np.empty(0)]
             for at in range(0, len(texts), 512):
-                found, score = shared.value.predict(texts[at : at + 512])
+                found, score, needed = shared.value.predict(texts[at : at + 512])
                 languages += found
                 scores.append(score)
+                least.append(needed)
             score = np.concatenate(scores)
-            rejected = [lang == "und" or s < least_similarity for lang, s in zip(languages, score.tolist())]
+            needed = np.maximum(np.concatenate(least), least_similarity)
+            rejected = [lang == "und" or s < n for lang, s, n in zip(languages, score.tolist(), needed.tolist())]
             made = [pa.array(languages, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
