@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -33,23 +34,56 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; a folder of this machine only where none is configured."""
+    """A new folder below the shared checkpoint folder. Where none is configured, one of this machine for a
+    session that runs in this process alone; any other session has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: a short lineage that outlives lost executors."""
+def put(df: DataFrame, name: str) -> str:
+    """Writes `df` to a new folder and returns its path."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: a short lineage that outlives lost executors."""
+    path = put(df, name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `put` wrote and nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key is hot if it has more than HOT_ROWS rows and more than that share of all: there are at most 1 / HOT_SHARE.
+HOT_SHARE, HOT_ROWS = 0.001, 1_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """`rows` (n_rows of them) joined to `keyed`, which has each key once, with its number of rows in `_n`.
+
+    Hot keys would send all their rows to one task. They are few, so what belongs to them is broadcast, and
+    their rows stay where they are; the other rows are joined by a shuffle. Both tables are read for each
+    of the two ways, so they should be written ones.
+    """
+    most = max(HOT_ROWS, int(HOT_SHARE * n_rows))
+    hot = keyed.filter(F.col("_n") > most).drop("_n")
+    cold = keyed.filter(F.col("_n") <= most).drop("_n")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key))
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system at the end of a task, whose worker goes on to serve others."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
