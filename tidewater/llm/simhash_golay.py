@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import release_memory, written
+from tidewater.llm.common import join_counted, release_memory, written
 from tidewater.llm.components import least_reachable
 from tidewater.session import load
 
@@ -231,12 +231,14 @@ def tie_runs(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
 
 
 def named_nodes(prints: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
-    """fp and `name` (a fingerprint that names its class) of each distinct fingerprint; and name and `first`,
-    the smallest value of that column, of each class."""
-    nodes = prints.groupBy("fp").agg(F.min(first).alias("_first"))
+    """fp, `name` (a fingerprint that names its class) and `_rows` of each distinct fingerprint; and name,
+    `first` (the smallest value of that column) and `_n` (the fingerprints) of each class."""
+    nodes = prints.groupBy("fp").agg(F.min(first).alias("_first"), F.count("*").alias("_rows"))
     tied = least_reachable(links(nodes.select("fp")))
-    named = nodes.join(tied, nodes["fp"] == tied["node"], "left").select("fp", "_first", F.coalesce("least", "fp").alias("name"))
-    return named.select("fp", "name"), named.groupBy("name").agg(F.min("_first").alias("first"))
+    named = nodes.join(tied, nodes["fp"] == tied["node"], "left").select("fp", "_first", "_rows", F.coalesce("least", "fp").alias("name"))
+    named = written(named, "named")
+    smallest = named.groupBy("name").agg(F.min("_first").alias("first"), F.count("*").alias("_n"))
+    return named.select("fp", "name", "_rows"), smallest
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -249,12 +251,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     prints = written(fingerprints(docs), "fingerprints")
     named, smallest = named_nodes(prints, F.col("doc_id"))
-    by_print = named.join(smallest, "name").select("fp", F.col("first").alias("component_id"))
-    # Hot fingerprints: every node goes once to each slice of the documents.
-    n_slices = 16
-    sliced = by_print.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-    salted = prints.withColumn("_slice", F.pmod(F.xxhash64("doc_id"), F.lit(n_slices)).cast("int"))
-    return salted.join(sliced, ["fp", "_slice"]).select(
+    by_print = join_counted(named, smallest, "name", named.count())
+    by_print = written(by_print.select("fp", F.col("first").alias("component_id"), F.col("_rows").alias("_n")), "classes")
+    return join_counted(prints, by_print, "fp", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
