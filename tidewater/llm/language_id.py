@@ -54,14 +54,14 @@ CLASSES = byte_classes()
 
 
 def gram_counts(texts: list[str], dimensions: int) -> np.ndarray:
-    """Counts of hashed byte 2- and 3-grams, a row for each text; whole texts, very long ones in pieces."""
+    """Counts of hashed byte 2- and 3-grams, a row for each text; whole texts, very long ones in pieces that
+    overlap. A blank stands before and after each text, so no gram has bytes of two texts."""
     out = np.zeros((len(texts), dimensions), np.float32)
     shift = np.uint32(32 - dimensions.bit_length() + 1)
 
     def count(first: int, parts: list[bytes]) -> None:
-        # Two blanks end each part; grams that reach across belong to the part they start in.
-        data = CLASSES[np.frombuffer(b"  ".join([*parts, b""]), np.uint8)].astype(np.uint32)
-        owner = np.repeat(np.arange(len(parts)), [len(p) + 2 for p in parts])[: len(data) - 2]
+        data = CLASSES[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint32)
+        owner = np.repeat(np.arange(len(parts)), list(map(len, parts)))[: len(data) - 2]
         pairs = data[:-2] << np.uint32(8) | data[1:-1]
         triples = pairs << np.uint32(8) | data[2:]
         worth = data[1:-1] != ord(" ")  # a gram of blanks, or around one, says nothing
@@ -74,11 +74,11 @@ def gram_counts(texts: list[str], dimensions: int) -> np.ndarray:
     parts: list[bytes] = []
     first = size = 0
     for i, text in enumerate(texts):
-        data = text.encode("utf-8", "surrogatepass")
+        data = b" " + text.encode("utf-8", "surrogatepass") + b" "
         if len(data) > PIECE:
-            for at in range(0, len(data), PIECE):
-                count(i, [data[at : at + PIECE]])
-            data = b""
+            for at in range(0, len(data) - 2, PIECE):
+                count(i, [data[at : at + PIECE + 2]])
+            data = b"  "
         parts.append(data)
         size += len(data)
         if size >= PIECE or len(parts) >= 128:
@@ -97,7 +97,9 @@ def unit(rows: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class LanguageModel:
     """Centroids (unit rows), the language of each, the idf of each dimension, and `least`: the cosine that a
-    text needs for each centroid (row), by the longest of CUTS (column) that it reaches; 0 in front for shorter ones."""
+    text needs for each centroid (row), by the longest of CUTS (column) that it reaches; 0 in front for shorter ones.
+    Without languages it tells none: every text is `und`. Of centroids equally near the first one counts, in the
+    order of the languages' names."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -107,6 +109,8 @@ class LanguageModel:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language and cosine (0 to 1) of the nearest centroid, and the cosine needed; `und` and 0 for texts
         without a letter."""
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         vectors = unit(np.log1p(gram_counts(texts, len(self.idf))) * self.idf)
         near = vectors @ self.centroids.T
         best = near.argmax(axis=1)
@@ -170,16 +174,18 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
     """A model of the languages in `labelled` (doc_id, text, lang), from a hashed sample of about per_language
     rows of each. The sample's counts, not its texts, come to the driver: per_language rows per language, each
     whole and by its beginnings. Document frequencies are those of all rows, not of the sample.
-    Rows without a label or without a letter aren't used.
+    Rows without a label or without a letter aren't used; where no others are, the model has no language.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows_of = {r["lang"]: r["n"] for r in labelled.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    none = LanguageModel([], np.zeros((0, params.dimensions), np.float32), np.ones(params.dimensions, np.float32), np.zeros((0, len(CUTS) + 1)))
     if not rows_of:
-        raise ValueError("no row has a label to learn from")
-    space = 1 << 20
+        return none
+    space = 1 << 50
     limits = F.create_map(*(F.lit(x) for lang, n in rows_of.items() for x in (lang, int(space * min(1.0, params.per_language / n)))))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(params.seed)), F.lit(space))
-    sample = usable.filter(place < limits[F.col("lang")]).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(params.seed)), F.lit(space))
+    # Of equal rows one is enough, so that no row with many copies fills the sample.
+    sample = usable.filter(place < limits[F.col("lang")]).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").dropDuplicates(["lang", "h"])
     dimensions = params.dimensions
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +201,8 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["lang", "h", "size", "counts"])
 
     counted = sample.mapInArrow(count, "lang string, h long, size int, counts binary").filter("counts IS NOT NULL").collect()
+    if not counted:
+        return none
     counted.sort(key=lambda r: (r["lang"], r["h"]))
     of_size = {size: [r for r in counted if r["size"] == size] for size in (0, *CUTS)}
     with_grams, n_docs = document_counts(usable, dimensions)
@@ -221,8 +229,10 @@ def predict(docs: DataFrame, model: LanguageModel, least_similarity: float) -> D
     """`docs` with lang_pred, score and rejected; from the texts alone.
 
     Rejected is what is less similar to its nearest centroid than the model needs, or than least_similarity.
-    Null texts and texts without a letter are `und`, score 0, rejected. Rows are judged one by one, so
-    repeated rows agree. Columns of docs by the names of the new ones are replaced.
+    Null texts and texts without a letter are `und`, score 0, rejected. A model without languages (nothing was
+    labelled) says `und` of every text, score 0, and rejects only those without a letter: the others are
+    unjudged. Rows are judged one by one, so repeated rows agree. Columns of docs by the names of the new ones
+    are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -238,7 +248,10 @@ def predict(docs: DataFrame, model: LanguageModel, least_similarity: float) -> D
                 least.append(needed)
             score = np.concatenate(scores)
             needed = np.maximum(np.concatenate(least), least_similarity)
-            rejected = [lang == "und" or s < n for lang, s, n in zip(languages, score.tolist(), needed.tolist())]
+            if shared.value.languages:
+                rejected = [lang == "und" or s < n for lang, s, n in zip(languages, score.tolist(), needed.tolist())]
+            else:
+                rejected = [LETTER.search(t) is None for t in texts]
             made = [pa.array(languages, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
