@@ -5,54 +5,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_dir, split_words
+from tidewater.llm.common import remove, shared_dir, split_words
 from tidewater.session import load
 
 KEYS = ("source", "lang", "tokenizer_version")
-DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
+TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
 class TokenRollup:
     """Additive totals by source, language and tokenizer version below one folder.
 
-    A batch is a set of signed rows: +1 inserts, -1 deletes, and a revised count is one of each. It is
-    summed by key and written to the folder of its id; only then does a commit of that id appear, and only
-    committed ids count. A batch that is given again, whole or after a crash half-way, replaces or repeats
-    what its id already says and changes no total. Totals are sums over committed batches.
+    A batch is a set of signed rows: +1 inserts, -1 deletes, and a revised count is one of each. Batch ids
+    grow, as those of a stream do. A batch is summed by key, added to the totals of the last committed
+    batch, and written as new totals to the folder of its id; only then does a commit of that id appear.
+    The greatest committed id is the high-water mark: a batch at or below it is a repeat and changes
+    nothing, and one that broke off half-way is above it and simply done again. Reading takes the totals of
+    the mark alone, a row for each key, however many batches there were; those of older ones are deleted.
+    One writer at a time is expected.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _committed(self) -> set[int]:
+    def _ids(self, folder: str) -> list[int]:
         jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return set()
-        return {int(s.getPath().getName().split("=")[1]) for s in files.listStatus(folder) if "=" in s.getPath().getName()}
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(where):
+            return []
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(where) if "=" in s.getPath().getName())
+
+    def mark(self) -> int | None:
+        """The greatest committed batch id."""
+        committed = self._ids("commits")
+        return committed[-1] if committed else None
 
     def apply(self, batch_id: int, changes: DataFrame) -> bool:
-        """Sums and commits `changes` (source, lang, tokenizer_version, n_tokens, sign); False if the id was.
+        """Adds and commits `changes` (source, lang, tokenizer_version, n_tokens, sign); False for a repeat.
 
         Null sources, languages and versions are keys of their own; a null count is 0, a null sign +1.
+        Repeated rows count each; other columns are ignored.
         """
-        if batch_id in self._committed():
+        mark = self.mark()
+        if mark is not None and batch_id <= mark:
             return False
         sign = F.coalesce("sign", F.lit(1)).cast("long")
+        signed = changes.select(*KEYS, sign.alias("n_docs"), (sign * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
         # Tasks sum before the shuffle, so a source with most of the rows costs a row per task.
-        delta = changes.groupBy(*KEYS).agg(
-            F.sum(sign).alias("n_docs"), F.sum(sign * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens")
-        )
-        delta.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+        self._summed(self.totals().unionByName(signed)).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch_id}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch_id}")
+        for old in self._ids("totals"):
+            if old < batch_id:
+                remove(self.spark, f"{self.path}/totals/batch={old}")
+        for old in self._ids("commits"):
+            if old < batch_id:
+                remove(self.spark, f"{self.path}/commits/batch={old}")
         return True
 
     def totals(self) -> DataFrame:
         """Keys with documents or tokens, and their totals."""
-        paths = [f"{self.path}/deltas/batch={b}" for b in sorted(self._committed())]
-        deltas = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        mark = self.mark()
+        if mark is None:
+            return self.spark.createDataFrame([], TOTALS)
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals/batch={mark}")
+
+    @staticmethod
+    def _summed(rows: DataFrame) -> DataFrame:
+        summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.filter("n_docs <> 0 OR n_tokens <> 0")
 
 
@@ -69,25 +88,24 @@ def letter_tokens(text: Column) -> Column:
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents inserted under words-1; the toxic ones deleted; the others
-    counted anew under letters-2 (a delete and an insert each); the deletes given again, to no effect."""
+    """Totals after four batches: all documents inserted under words-1; the toxic ones deleted; those that
+    have another label counted anew under letters-2 (a delete and an insert each), so that the unlabelled
+    stay under words-1; the deletes given again, to no effect."""
     rollup = TokenRollup(spark, shared_dir(spark, "rollup"))
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    toxic = load(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("gone", F.lit(True))
-    counted = docs.select(
-        "doc_id", "source", "lang", word_tokens(F.col("text")).alias("old"), letter_tokens(F.col("text")).alias("new")
-    ).join(toxic, "doc_id", "left")
+    labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("gone"))
+    # Counted before the join, so that no text is shuffled.
+    counted = docs.select("doc_id", "source", "lang", word_tokens(F.col("text")).alias("old"), letter_tokens(F.col("text")).alias("new"))
 
     def change(version: str, count: str, sign: int) -> Column:
-        return F.struct(
-            F.lit(version).alias("tokenizer_version"), F.col(count).alias("n_tokens"), F.lit(sign).alias("sign")
-        )
+        return F.struct(F.lit(version).alias("tokenizer_version"), F.col(count).alias("n_tokens"), F.lit(sign).alias("sign"))
 
     unpack = lambda df: df.select("source", "lang", "change.*")
-    inserts = unpack(docs.select("source", "lang", word_tokens(F.col("text")).alias("old")).withColumn("change", change("words-1", "old", 1)))
-    deletes = unpack(counted.filter("gone").withColumn("change", change("words-1", "old", -1)))
-    revised = F.explode(F.array(change("words-1", "old", -1), change("letters-2", "new", 1)))
-    revisions = unpack(counted.filter("gone IS NULL").withColumn("change", revised))
+    inserts = unpack(counted.withColumn("change", change("words-1", "old", 1)))
+    judged = counted.join(labels, "doc_id")
+    deletes = unpack(judged.filter("gone").withColumn("change", change("words-1", "old", -1)))
+    both = F.explode(F.array(change("words-1", "old", -1), change("letters-2", "new", 1)))
+    revisions = unpack(judged.filter("NOT gone").withColumn("change", both))
     for batch_id, changes in enumerate((inserts, deletes, revisions)):
         rollup.apply(batch_id, changes)
     rollup.apply(1, deletes)
@@ -95,8 +113,15 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-SELECT source, lang, 'letters-2' AS tokenizer_version, count(*)::BIGINT AS n_docs,
-  sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')))::BIGINT AS n_tokens
-FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)
-GROUP BY source, lang
+WITH l AS (SELECT doc_id, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS gone FROM labels GROUP BY doc_id),
+d AS (
+  SELECT source, lang, gone IS NOT NULL AS labelled, coalesce(gone, 0) AS gone, coalesce(text, '') AS text
+  FROM documents LEFT JOIN l USING (doc_id)),
+t AS (
+  SELECT source, lang, CASE WHEN labelled THEN 'letters-2' ELSE 'words-1' END AS tokenizer_version,
+    len(list_filter(CASE WHEN labelled THEN regexp_split_to_array(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')
+      ELSE regexp_split_to_array(text, '[\x20\x09-\x0D]+') END, lambda x: x <> '')) AS n
+  FROM d WHERE gone = 0)
+SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens
+FROM t GROUP BY source, lang, tokenizer_version
 """
