@@ -36,7 +36,7 @@ RULES = (
 
 @dataclass(frozen=True)
 class UrlParams:
-    """sample bounds the labelled URLs that the trees are fitted on."""
+    """sample bounds the distinct labelled URLs that the trees are fitted on, half of them for each label."""
 
     sample: int = 10_000
     trees: int = 10
@@ -80,6 +80,15 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def section_of(host: Column, path: Column) -> Column:
+    """The suffix of a host with the first part of the path."""
+    return F.concat_ws("/", suffix_of(host), F.coalesce(F.get(F.split(path, "/", 3), F.lit(1)), F.lit("")))
+
+
+#: Columns of values whose share of blocked URLs is a feature.
+SHARES = {"suffix": "f_suffix", "section": "f_section"}
+
+
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """Features of the characters of a URL."""
     n = F.char_length(url)
@@ -100,29 +109,33 @@ def with_features(urls: DataFrame) -> DataFrame:
     """`urls` with host, path, and a column per feature; null urls are empty."""
     url = F.coalesce("url", F.lit(""))
     parts = urls.withColumns({"host": host_of(url), "path": path_of(url)})
-    return parts.withColumns(lexical(url, F.col("host"), F.col("path")) | {"suffix": suffix_of(F.col("host"))})
+    return parts.withColumns(lexical(url, F.col("host"), F.col("path")) | {"suffix": suffix_of(F.col("host")), "section": section_of(F.col("host"), F.col("path"))})
 
 
 class UrlModel:
-    """Boosted trees with the label shares of the host suffixes they were fitted on."""
+    """Boosted trees with the label shares of the host suffixes and sections they were fitted on."""
 
     def __init__(self, labelled: DataFrame, params: UrlParams) -> None:
-        """labelled: url and `block` (0 or 1). The sample is the rows with the least hashes of the URL."""
+        """labelled: url and `block` (0 or 1). The sample is of distinct URLs, those with the least hashes:
+        up to params.sample / 2 of each label, so neither copies of a URL nor a frequent label fill it."""
         spark = labelled.sparkSession
-        n = labelled.count()
-        near = F.pmod(F.xxhash64("url", F.lit(params.seed)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * params.sample / max(n, 1)))
+        most, space = max(1, params.sample // 2), 1 << 50
         order = F.xxhash64("url", F.lit(params.seed))
-        sample = written(
-            with_features(labelled.filter(near)).orderBy(order, "url", "block").limit(params.sample).coalesce(1), "urls"
-        )
+        sample = labelled.limit(0)
+        for r in labelled.groupBy("block").agg(F.approx_count_distinct("url").alias("n")).orderBy("block").collect():  # two rows at most
+            # About half as much again as wanted pass the filter, so that few URLs are left to be told apart and ordered.
+            near = F.pmod(order, F.lit(space)) < int(space * min(1.0, 1.5 * most / max(r["n"], 1)))
+            own = labelled.filter((F.col("block") == r["block"]) & near).dropDuplicates(["url"])
+            sample = sample.union(own.orderBy(order, "url").limit(most))
+        sample = written(with_features(sample).coalesce(1), "urls")
         total = sample.agg(F.count("*").alias("n"), F.sum("block").alias("block")).first()
         self.share = (total["block"] or 0) / total["n"] if total["n"] else 0.0
         # At most one row per row of the sample.
-        rates = sample.groupBy("suffix").agg(
-            ((F.sum("block") + params.smoothing * self.share) / (F.count("*") + params.smoothing)).alias("f_suffix")
-        )
-        self.rates = written(rates.coalesce(1), "rates")
-        features = [c for c in sample.columns if c.startswith("f_")] + ["f_suffix"]
+        self.rates = {}
+        for column, feature in SHARES.items():
+            share = (F.sum("block") + params.smoothing * self.share) / (F.count("*") + params.smoothing)
+            self.rates[column] = written(sample.groupBy(column).agg(share.alias(feature)).coalesce(1), "rates")
+        features = [c for c in sample.columns if c.startswith("f_")] + list(SHARES.values())
         self.assembler = VectorAssembler(inputCols=features, outputCol="features")
         self.model = None
         if 0 < self.share < 1:
@@ -134,7 +147,9 @@ class UrlModel:
         self.spark = spark
 
     def _rated(self, urls: DataFrame) -> DataFrame:
-        return urls.join(F.broadcast(self.rates), "suffix", "left").fillna({"f_suffix": self.share})
+        for column, feature in SHARES.items():
+            urls = urls.join(F.broadcast(self.rates[column]), column, "left").fillna({feature: self.share})
+        return urls
 
     def verdict(self, urls: DataFrame) -> DataFrame:
         """`urls` (with features) and the probability `p_block`; with one class of labels alone, its share."""
