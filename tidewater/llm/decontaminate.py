@@ -10,8 +10,11 @@ from tidewater.session import load
 
 #: Words of a window.
 WINDOW = 10
-#: Up to so many windows of test items are broadcast (some 150 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Windows of test items of up to so many bytes are broadcast, counting RECORD_BYTES for each besides its
+#: characters and items; more are joined by a shuffle, in SLICES of the places.
+MOST_BROADCAST, RECORD_BYTES, SLICES = 64 << 20, 64, 16
+#: Places of windows in a text.
+SPANS = "array<struct<start:int,len:int>>"
 #: Fixed value: the ASCII characters that part words, after lower-casing.
 PARTING = "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or chr(c).islower() or chr(c).isupper()))
 PARTING_CLASS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -24,98 +27,128 @@ def benchmark_words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each item's distinct windows: item_id, gram (words joined by blanks), len, h.
+    """The items' distinct windows: gram (words joined by blanks), len, h, and `items`, the ids that have it.
 
     An item with fewer words than `window` is one window of all its words; one without words has none.
+    Null ids are left out of `items`.
     """
     words = items.select("item_id", benchmark_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("w") - n + 1)
     grams = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, n))).alias("g"))
     # The hash has to be that of window_hash: an array's is that of its elements, one after the other.
-    return grams.select(
-        "item_id", F.array_join("g", " ").alias("gram"), F.size("g").alias("len"), F.xxhash64("g").alias("h")
-    ).distinct()
+    each = grams.select(F.col("item_id").cast("string").alias("item"), F.array_join("g", " ").alias("gram"), F.size("g").alias("len"), F.xxhash64("g").alias("h"))
+    return each.groupBy("gram", "len", "h").agg(F.collect_set("item").alias("items"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, spans, item_ids, and the columns named in `keep`.
+def places(words: DataFrame, lengths: list[int]) -> DataFrame:
+    """`words` (a column `w` of words among others) at each place `at` once for each length of window, with the
+    window's hash `hash`; null where the text ends before. Hashes are computed after the places are exploded,
+    and so in generated code."""
+    each = words.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))) if len(lengths) > 1 else words.withColumn("length", F.lit(lengths[0]))
+    each = each.select("*", F.posexplode_outer("w").alias("at", "_word")).drop("_word")
+    h = F.lit(None).cast("long")
+    for length in lengths:
+        h = F.when(F.col("length") == length, window_hash(F.col("w"), F.col("at"), length)).otherwise(h)
+    return each.withColumn("hash", F.when(F.col("at") + F.col("length") <= F.size("w"), h))
+
+
+def gathered(found: DataFrame, *by: str) -> DataFrame:
+    """`spans` and `item_ids` of each group of verified hits (span, items)."""
+    return found.groupBy(*by).agg(
+        *(F.first(c).alias(c) for c in ("row", "n_words") if c in found.columns),
+        F.sort_array(F.collect_set("span")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
+    )
+
+
+def gram_at(at: Column, length: Column) -> Column:
+    """The words of a window, joined as those of item_windows are."""
+    return F.array_join(F.slice("w", at + 1, length), " ")
+
+
+def hits_by_broadcast(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """row, n_words, spans and item_ids of each of `rows` (id, row, w): every window is looked up in the
+    broadcast windows and verified in the same pass; only hits and one line a row are gathered."""
+    each = places(rows.select("id", "row", "w"), lengths)
+    same = (F.col("length") == F.col("len")) & (gram_at(F.col("at"), F.col("len")) == F.col("gram"))
+    found = each.join(F.broadcast(grams), (F.col("hash") == F.col("h")) & same, "left")
+    found = found.filter(F.col("h").isNotNull() | F.col("at").isNull() | (F.col("at") == 0)).select(
+        "id",
+        "row",
+        F.size("w").cast("long").alias("n_words"),
+        F.when(F.col("h").isNotNull(), F.struct(F.col("at").alias("start"), F.col("len").alias("len"))).alias("span"),
+        "items",
+    )
+    return gathered(found, "id").drop("id")
+
+
+def hits_by_shuffle(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for windows that are too many to broadcast.
+
+    Texts stay where they are: what is shuffled of a place is its hash, with the row's 128-bit key. Places
+    whose hash is a window's (looked up in slices, since windows may be frequent) go back to their texts to
+    be verified word by word; spans and items are then joined to the rows. Equal rows share a key, and so
+    their hits; a row without hits needs none.
+    """
+    key = ["k1", "k2"]
+    keyed = rows.select("row", F.size("w").cast("long").alias("n_words"), "w", *key)
+    each = places(keyed.select(*key, "w"), lengths).filter("hash IS NOT NULL").select(*key, "at", "length", "hash")
+    slices = F.sequence(F.lit(0), F.lit(SLICES - 1))
+    wanted = grams.select(F.col("len").alias("length"), F.col("h").alias("hash")).distinct().withColumn("slice", F.explode(slices))
+    seen = each.withColumn("slice", F.pmod(F.xxhash64("k1", "at"), F.lit(SLICES)).cast("int")).join(wanted, ["length", "hash", "slice"], "left_semi")
+    seen = seen.groupBy(*key).agg(F.collect_set(F.struct("at", "length", "hash")).alias("seen"))
+    shown = keyed.select(*key, "w").join(seen, key).select(*key, "w", F.explode("seen").alias("s"))
+    shown = shown.select(*key, F.struct(F.col("s.at").alias("start"), F.col("s.length").alias("len")).alias("span"), gram_at(F.col("s.at"), F.col("s.length")).alias("gram"), F.col("s.hash").alias("h"))
+    sliced = grams.select("gram", "h", "items").withColumn("slice", F.explode(slices))
+    verified = shown.withColumn("slice", F.pmod(F.xxhash64("k1", "span"), F.lit(SLICES)).cast("int")).join(sliced, ["gram", "h", "slice"])
+    hits = gathered(verified.select(*key, "span", "items"), *key)
+    return keyed.drop("w").join(hits, key, "left").select(
+        "row",
+        "n_words",
+        F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+    )
+
+
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadcast: int | None = None) -> DataFrame:
+    """doc_id, n_words, spans and item_ids of each row of `docs`; see hits_beside."""
+    return hits_beside(docs, items, ["doc_id"], window, most_broadcast).select("row.doc_id", "n_words", "spans", "item_ids")
+
+
+def hits_beside(docs: DataFrame, items: DataFrame, keep: list[str], window: int, most_broadcast: int | None) -> DataFrame:
+    """One row per row of `docs`: `row`, a struct of the columns to `keep`, n_words, spans and item_ids.
 
     spans: sorted (start, len) in words of all item windows in the text; item_ids: as strings, sorted.
-    Every window of every text is hashed and looked up in the broadcast set of the items' windows; hits
-    are verified word by word in the same pass. Only documents and hits leave it, to be gathered by row.
-    Null and empty texts have no words. Null item_ids hit like others but aren't listed. Repeated
-    documents give repeated rows; repeated items count once. Either table may be empty.
+    Every window of every text is looked up. Null and empty texts have no words. Null item_ids hit like
+    others but aren't listed. Repeated documents give repeated rows; repeated items count once. Either
+    table may be empty. Columns besides doc_id and text may have any names. Windows of up to most_broadcast
+    bytes (characters and RECORD_BYTES for each) are broadcast, more are shuffled.
     """
+    most_broadcast = MOST_BROADCAST if most_broadcast is None else most_broadcast
     grams = item_windows(items, window)
-    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # `window` values at most
+    told = grams.agg(F.collect_set("len").alias("lengths"), F.sum(F.octet_length("gram") + F.size("items") * 16 + RECORD_BYTES).alias("size")).first()
+    lengths = sorted(told["lengths"])  # `window` values at most
     rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), "doc_id", *keep, benchmark_words(F.col("text")).alias("w")
+        F.monotonically_increasing_id().alias("id"),
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
+        benchmark_words(F.col("text")).alias("w"),
+        *(F.xxhash64(F.lit(i), F.col("doc_id").isNull(), "doc_id", "text").alias(f"k{i}") for i in (1, 2)),
     )
     if not lengths:
-        none = F.array().cast("array<struct<start:int,len:int>>")
-        return rows.select("doc_id", *keep, F.size("w").cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("item_ids"))
-
-    # Each place of a text once for each length of window. Hashes are computed after the places are
-    # exploded, and so in generated code, as the lookup and the comparison are.
-    places = rows.select(
-        "*", F.explode(F.array(*map(F.lit, lengths))).alias("_len")
-    ) if len(lengths) > 1 else rows.withColumn("_len", F.lit(lengths[0]))
-    each = places.select("*", F.posexplode_outer("w").alias("_at", "_word")).drop("_word")
-    h = F.lit(None).cast("long")
-    for length in lengths:
-        h = F.when(F.col("_len") == length, window_hash(F.col("w"), F.col("_at"), length)).otherwise(h)
-    each = each.withColumn("_h", F.when(F.col("_at") + F.col("_len") <= F.size("w"), h))
-    same = (F.col("_len") == F.col("len")) & (F.array_join(F.slice("w", F.col("_at") + 1, F.col("len")), " ") == F.col("gram"))
-    few = grams.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    found = each.join(F.broadcast(grams) if few else grams, (F.col("_h") == F.col("h")) & same, "left")
-    found = found.filter(F.col("h").isNotNull() | F.col("_at").isNull() | (F.col("_at") == 0)).select(
-        "_row",
-        "doc_id",
-        *keep,
-        F.size("w").cast("long").alias("n_words"),
-        F.when(F.col("h").isNotNull(), F.struct(F.col("_at").alias("start"), F.col("len").alias("len"))).alias("span"),
-        F.col("item_id").cast("string").alias("item"),
-    )
-    return (
-        found.groupBy("_row")
-        .agg(
-            *(F.first(c).alias(c) for c in ("doc_id", *keep, "n_words")),
-            F.sort_array(F.collect_set("span")).alias("spans"),
-            F.sort_array(F.collect_set("item")).alias("item_ids"),
-        )
-        .drop("_row")
-    )
+        none = F.array().cast("array<string>").alias("item_ids")
+        return rows.select("row", F.size("w").cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), none)
+    return (hits_by_broadcast if told["size"] <= most_broadcast else hits_by_shuffle)(rows, grams, lengths)
 
 
-def merge_spans(spans: Column) -> Column:
-    """Overlapping and adjoining spans as one; (start, end) each."""
-    kind = "array<struct<start:int,end:int>>"
-    last = lambda out: F.get(out, F.size(out) - 1)
-    span = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
-    return F.aggregate(
-        spans,
-        F.array().cast(kind),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (last(out)["end"] >= s["start"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))),
-                span(last(out)["start"], F.greatest(last(out)["end"], s["start"] + s["len"])),
-            ),
-        ).otherwise(F.concat(out, span(s["start"], s["start"] + s["len"]))),
-    )
+def hit_places(spans: Column) -> Column:
+    """The places of all words that the spans cover, each once."""
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
 
 
 def covered_words(spans: Column) -> Column:
     """How many words the spans cover."""
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda state, s: F.struct(
-            (state["n"] + F.greatest(F.lit(0), s["start"] + s["len"] - F.greatest(s["start"], state["end"]))).alias("n"),
-            F.greatest(state["end"], s["start"] + s["len"]).alias("end"),
-        ),
-    )["n"].cast("long")
+    return F.size(hit_places(spans)).cast("long")
 
 
 def remove_words(text: Column, spans: Column) -> Column:
@@ -123,23 +156,21 @@ def remove_words(text: Column, spans: Column) -> Column:
     pattern = F.lit(f"[{PARTING_CLASS}]*[^{PARTING_CLASS}]+|[{PARTING_CLASS}]+$")
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), pattern, F.lit(0))
     return let(
-        merge_spans(spans),
-        lambda merged: F.array_join(
-            F.filter(tokens, lambda _, i: ~F.exists(merged, lambda s: (i >= s["start"]) & (i < s["end"]))), ""
+        tokens,
+        lambda every: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), hit_places(spans)), lambda i: F.get(every, i)), ""
         ),
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, most_hit_share: float = 0.2, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, most_hit_share: float = 0.2, window: int = WINDOW, most_broadcast: int | None = None) -> DataFrame:
     """`docs` without what they share with `items`: texts lose the windows that hit; a text of which
     more than `most_hit_share` is hit goes as a whole. Texts without a hit stay as they are, null ones too.
     """
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = find_hits(docs, items, window, keep=others)
-    n_hit = covered_words(F.col("spans"))
-    kept = found.withColumn("_hit", n_hit).filter(F.col("_hit") <= most_hit_share * F.col("n_words"))
-    text = F.when(F.col("_hit") > 0, remove_words(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return kept.withColumn("text", text).select(docs.columns)
+    found = hits_beside(docs, items, docs.columns, window, most_broadcast).withColumn("hit", covered_words(F.col("spans")))
+    kept = found.filter(F.col("hit") <= most_hit_share * F.col("n_words"))
+    text = F.when(F.col("hit") > 0, remove_words(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    return kept.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
