@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -20,8 +22,10 @@ from tidewater.session import load
 
 #: Fixed value: how byte-level tokenizers split a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose encodings a task keeps; beyond it the task starts anew.
-MOST_WORDS = 400_000
+#: Words whose encodings a task keeps, and nodes of its trie; beyond either the task starts that anew.
+MOST_WORDS, MOST_NODES = 400_000, 500_000
+#: Bytes of a word that have nodes in the trie. What lies deeper is the tail of few words and kept for the word alone.
+DEPTH = 64
 #: After the rank of every merge; what a token of one byte is made of.
 NEVER, SINGLE = 1 << 60, (-1, -1, -1)
 
@@ -39,7 +43,9 @@ class TrieEncoder:
     A sequence of tokens is what the merges make of a string if and only if each neighbouring pair is what
     they make of the pair's own bytes. So every string has exactly one last token: the one that is a suffix
     and follows validly on the last token of the rest. That last token is a trie node's state; it depends on
-    the path to the node alone, and so words with a common prefix share the states along it.
+    the path to the node alone, and so words with a common prefix share the states along it. The trie grows
+    with the distinct words of a task. A word's encoding is read off backwards, from its last token's start
+    to the token that ends there; so memory is linear in the length of a word.
     """
 
     def __init__(self, spec: str) -> None:
@@ -64,6 +70,12 @@ class TrieEncoder:
         self.pattern = regex.compile(WORD_PATTERN)
         self.valid: dict[tuple[int, int], bool] = {}
         self.encoded: dict[str, bytes] = {}
+        self.plant()
+
+    def plant(self) -> None:
+        """A trie of the root alone: children by node and byte, and each node's last token and where it starts."""
+        self.children: dict[int, int] = {}
+        self.last_token, self.last_start = array("i", [-1]), array("i", [0])
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens side by side.
@@ -95,36 +107,62 @@ class TrieEncoder:
         self.valid[key] = known
         return known
 
+    def last_of(self, data: bytes, end: int, states: array, last: int) -> tuple[int, int]:
+        """The last token of data[:end] and its start; states: the last tokens of shorter prefixes, last: the
+        start of the one before. One start fits, so any order will do: the last token with one more byte,
+        shorter ones, longer ones."""
+        ids, valid = self.ids, self.valid
+        for start in (*range(last, end), *range(last - 1, max(0, end - self.longest) - 1, -1)):
+            token = ids.get(data[start:end])
+            if token is not None:
+                if not start:
+                    return token, 0
+                fits = valid.get((states[start], token))
+                if fits is None:
+                    fits = self.follows(states[start], token)
+                if fits:
+                    return token, start
+        raise ValueError("the vocabulary lacks a token for a byte")
+
     def encode_words(self, words: Iterable[str]) -> None:
-        """Adds the encodings of `words` to `self.encoded`, as little-endian 32-bit ids.
+        """Inserts `words` into the trie and adds their encodings to `self.encoded`, as little-endian 32-bit ids.
 
-        Words in byte order are the trie in depth-first order: `path` holds the states from the root to the
-        current node, and the walk goes back up to where the next word parts from the one before.
+        Words come in byte order, so the trie is walked depth first: the path holds the states from the root
+        to the current node, and goes back up to where the next word parts from the one before.
         """
-        ids, longest, valid, follows = self.ids, self.longest, self.valid, self.follows
-        before, states, starts, encodings = b"", [-1], [0], [b""]
+        before, nodes = b"", [0]
+        states, starts = array("i", [-1]), array("i", [0])
         for data, word in sorted((w.encode(), w) for w in words):
+            if len(self.last_token) > MOST_NODES:
+                self.plant()
+                before = b""
+            children, last_token, last_start = self.children, self.last_token, self.last_start
             shared, most = 0, min(len(before), len(data))
             while shared < most and before[shared] == data[shared]:
                 shared += 1
-            del states[shared + 1 :], starts[shared + 1 :], encodings[shared + 1 :]
-            for end in range(shared + 1, len(data) + 1):
-                # One start fits, so any order will do: the last token with one more byte, shorter ones, longer ones.
-                last = starts[-1]
-                for start in (*range(last, end), *range(last - 1, max(0, end - longest) - 1, -1)):
-                    token = ids.get(data[start:end])
-                    if token is not None:
-                        if start:
-                            fits = valid.get((states[start], token))
-                            if fits is None:
-                                fits = follows(states[start], token)
-                            if not fits:
-                                continue
-                        states.append(token)
-                        starts.append(start)
-                        encodings.append(encodings[start] + token.to_bytes(4, "little"))
-                        break
-            self.encoded[word] = encodings[-1]
+            del states[shared + 1 :], starts[shared + 1 :], nodes[shared + 1 :]
+            for end in range(shared + 1, min(len(data), DEPTH) + 1):
+                edge = nodes[-1] << 8 | data[end - 1]
+                node = children.get(edge)
+                if node is None:
+                    token, start = self.last_of(data, end, states, starts[-1])
+                    node = children[edge] = len(last_token)
+                    last_token.append(token)
+                    last_start.append(start)
+                nodes.append(node)
+                states.append(last_token[node])
+                starts.append(last_start[node])
+            for end in range(max(shared, DEPTH) + 1, len(data) + 1):
+                token, start = self.last_of(data, end, states, starts[-1])
+                states.append(token)
+                starts.append(start)
+            found = array("i")
+            at = len(data)
+            while at:
+                found.append(states[at])
+                at = starts[at]
+            found.reverse()
+            self.encoded[word] = struct.pack(f"<{len(found)}i", *found)
             before = data
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -151,6 +189,7 @@ class TrieEncoder:
         """Drops what grew with the words seen."""
         self.encoded.clear()
         self.valid.clear()
+        self.plant()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -188,8 +227,8 @@ def in_chunks(texts: list[str], most_chars: int = 2_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def map_encoded(docs: DataFrame, path: str, schema: str, make: Callable[[TrieEncoder, list[bytes]], dict]) -> DataFrame:
-    """doc_id of each row, and what `make` gives for the ids of its text; null text is the empty one."""
+def map_encoded(docs: DataFrame, path: str, schema: str, make: Callable[[TrieEncoder, list[bytes], list[str]], dict]) -> DataFrame:
+    """doc_id of each row, and what `make` gives for the ids of its text and the text; null text is the empty one."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +236,7 @@ def map_encoded(docs: DataFrame, path: str, schema: str, make: Callable[[TrieEnc
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
             for part in in_chunks(texts):
-                made = make(bpe, bpe.encode(texts[part]))
+                made = make(bpe, bpe.encode(texts[part]), texts[part])
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[part.start : part.stop], **made}, to_arrow_schema(wanted))
         bpe.forget()
         release_memory()
@@ -207,18 +246,22 @@ def map_encoded(docs: DataFrame, path: str, schema: str, make: Callable[[TrieEnc
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and `token_ids` (array of int) of each row.
+    """doc_id, `token_ids` (array of int) and `same`, whether they decode to the text, of each row.
 
     Null and empty texts have no ids. Every row is encoded on its own, repeated rows and null doc_ids
-    included; further columns are ignored. Long texts are encoded whole.
+    included; further columns are ignored, whatever their names. Long texts and long words are encoded whole.
     """
-    return map_encoded(docs, path, "token_ids array<int>", lambda _, ids: {"token_ids": [np.frombuffer(x, "<i4") for x in ids]})
+
+    def make(bpe: TrieEncoder, ids: list[bytes], texts: list[str]) -> dict:
+        return {"token_ids": [np.frombuffer(x, "<i4") for x in ids], "same": [bpe.decode(x) == t for x, t in zip(ids, texts)]}
+
+    return map_encoded(docs, path, "token_ids array<int>, same boolean", make)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, digest of the ids and digest of the text decoded from them, of each row."""
 
-    def make(bpe: TrieEncoder, ids: list[bytes]) -> dict:
+    def make(bpe: TrieEncoder, ids: list[bytes], _: list[str]) -> dict:
         digest = lambda data: hashlib.sha256(data).hexdigest()
         return {
             "n_tokens": [len(x) // 4 for x in ids],
