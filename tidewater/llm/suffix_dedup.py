@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,7 +203,7 @@ def file_records(batches: Iterator[pd.DataFrame], n_shards: int) -> Iterator[pd.
     smallest id go on; the others are spans to be removed at once (rows with `doc`)."""
     for batch in batches:
         names, ids = batch["_tw_key"].to_numpy(np.int64), batch["_tw_id"].to_numpy(np.int64)
-        told = [np.unique(unpack_keys(b"".join(x))) for x in batch["told"]]
+        told = [np.unique(unpack_keys(b"".join(x))) for x in batch["_tw_told"]]
         wanted = np.concatenate([*told, np.empty(0, np.uint64)])
         wanted |= np.repeat(np.arange(len(told), dtype=np.uint64), list(map(len, told))) << np.uint64(40)
         for doc, offset, starts, data in cut(t.encode("utf-8", "surrogatepass") for t in batch["text"]):
@@ -471,7 +472,7 @@ def find_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFrame
     text, records 90 bytes each.
     """
     text = F.coalesce("text", F.lit(""))
-    tagged = docs.withColumn("text", text).withColumn("_tw_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    tagged = docs.withColumn("text", text).withColumn("_tw_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     prints = (F.xxhash64("text").alias("h"), (F.crc32(F.col("text").cast("binary")) * (1 << 31) + F.octet_length("text")).alias("g"))
     name: Column = F.xxhash64("_tw_id", *prints)
     tagged = tagged.withColumn("_tw_key", name)
@@ -499,14 +500,14 @@ def find_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFrame
 
     nominated = tagged.join(firsts, "_tw_key", "left_semi").mapInPandas(keys, "bucket int, direct boolean, doc long, data binary")
     told = nominated.repartition(n_buckets, "bucket").mapInPandas(told_keys, "doc long, data binary")
-    told = told.groupBy("doc").agg(F.collect_list("data").alias("told"))
-    records_ = tagged.join(told, tagged["_tw_key"] == told["doc"]).drop("doc").mapInPandas(filed, "shard int, direct boolean, doc long, data binary")
+    told = told.groupBy(F.col("doc").alias("_tw_key")).agg(F.collect_list("data").alias("_tw_told"))
+    records_ = tagged.join(told, "_tw_key").mapInPandas(filed, "shard int, direct boolean, doc long, data binary")
     packed = records_.repartition(n_shards, "shard").mapInPandas(searched, "bucket int, data binary")
     # Both readers take the same shuffle: neither puts a filter before it.
     packed = packed.repartition(n_buckets, "bucket")
-    spans = packed.mapInPandas(gather_spans, "doc long, _tw_spans binary")
-    more = spans_apart(packed, n_buckets).withColumnRenamed("doc", "_tw_doc")
-    marks = firsts.join(spans, firsts["_tw_key"] == spans["doc"], "left").join(more, F.col("_tw_key") == F.col("_tw_doc"), "left")
+    spans = packed.mapInPandas(gather_spans, "doc long, _tw_spans binary").withColumnRenamed("doc", "_tw_key")
+    more = spans_apart(packed, n_buckets).withColumnRenamed("doc", "_tw_key")
+    marks = firsts.join(spans, "_tw_key", "left").join(more, "_tw_key", "left")
     both = F.when(F.col("_tw_more").isNull(), F.col("_tw_spans")).when(F.col("_tw_spans").isNull(), F.col("_tw_more"))
     marks = marks.select("_tw_key", both.otherwise(F.concat("_tw_spans", "_tw_more")).alias("_tw_spans"), F.lit(True).alias("_tw_first"))
     return tagged.join(marks, "_tw_key", "left")
@@ -530,42 +531,49 @@ def remove_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFra
     smaller doc_id.
 
     Texts are UTF-8; where a cut leaves part of a character, that part goes too. Null texts stay null and
-    empty ones empty. Null doc_ids count as larger than all others. Rows with equal doc_ids don't remove
-    from each other, and equal rows give equal rows. Other columns stay as they are.
+    empty ones empty. Null doc_ids count as 2^63-1, the largest. Rows with equal doc_ids don't remove
+    from each other, and equal rows give equal rows. Other columns stay as they are, whatever their names.
     """
     found = find_repeats(docs.withColumn("_tw_null", F.col("text").isNull()), most_records)
-    fields = docs.schema
     names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch["text"], batch["_tw_first"], batch["_tw_spans"], batch["_tw_null"])
-            batch["text"] = [
-                None if null else cut_out(t.encode("utf-8", "surrogatepass"), first is True, s)[0].decode("utf-8", "ignore")
-                for t, first, s, null in rows
+            null = batch.column("_tw_null").to_pylist()
+            texts = [
+                None if no else cut_out(data, first, spans)[0].decode("utf-8", "ignore")
+                for (data, first, spans), no in zip(texts_and_spans(batch), null)
             ]
-            yield batch[names]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return found.mapInPandas(run, fields)
+    return found.mapInArrow(run, docs.schema)
+
+
+def texts_and_spans(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bool, bytes | None]]:
+    """What `cut_out` takes, of each row that find_repeats gives."""
+    for text, first, spans in zip(batch.column("text"), batch.column("_tw_first"), batch.column("_tw_spans")):
+        yield text.as_py().encode("utf-8", "surrogatepass"), first.as_py() is True, spans.as_py()
 
 
 def digests(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFrame:
     """doc_id, bytes, bytes and runs removed, and digest of the bytes left, of each row."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            if batch.empty:
-                continue
-            for id_, text, first, spans in zip(batch["_tw_id"], batch["text"], batch["_tw_first"], batch["_tw_spans"]):
-                data = text.encode("utf-8", "surrogatepass")
-                kept, n_spans = cut_out(data, first is True, spans)
-                rows.append((None if id_ == NO_ID else id_, len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
-            ids, *rest = zip(*rows)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), **dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), rest))})
-
-    found = find_repeats(docs.select("doc_id", "text"), most_records)
-    return found.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            sizes, removed, runs_, hashes = [], [], [], []
+            for data, first, spans in texts_and_spans(batch):
+                kept, n_spans = cut_out(data, first, spans)
+                sizes.append(len(data))
+                removed.append(len(data) - len(kept))
+                runs_.append(n_spans)
+                hashes.append(hashlib.sha256(kept).hexdigest())
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs_)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(hashes, pa.string())], names)
+
+    found = find_repeats(docs.select(F.col("doc_id").cast("long"), "text"), most_records)
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
