@@ -11,13 +11,11 @@ from tidewater.session import load
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not rejected. Learns from the labelled documents of `docs`."""
+    """Documents whose language is not rejected. Learns from the labelled documents of `docs`; where none is
+    labelled nothing can be rejected but texts without a letter, and all others stay."""
     params = language_id.LanguageParams()
-    learn = language_id.learn_from(docs)
-    if learn.filter("lang IS NOT NULL AND text IS NOT NULL").isEmpty():
-        return docs.limit(0)
-    judged = language_id.predict(docs, language_id.fit(learn, params), params.least_similarity)
-    return judged.filter("NOT rejected").select(docs.columns)
+    model = language_id.fit(language_id.learn_from(docs), params)
+    return language_id.predict(docs, model, params.least_similarity).filter("NOT rejected").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +39,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of each document."""
+    """doc_id, token ids, and whether they decode to the text, of each document."""
     return bpe_trie.encode(docs, bpe_trie.default_vocabulary())
 
 
