@@ -23,7 +23,7 @@ from tidewater.session import load
 #: Fixed value: how byte-level tokenizers split a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a task keeps, and nodes of its trie; beyond either the task starts that anew.
-MOST_WORDS, MOST_NODES = 400_000, 500_000
+MOST_WORDS, MOST_NODES = 300_000, 200_000
 #: Bytes of a word that have nodes in the trie. What lies deeper is the tail of few words and kept for the word alone.
 DEPTH = 64
 #: After the rank of every merge; what a token of one byte is made of.
