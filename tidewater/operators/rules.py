@@ -46,13 +46,16 @@ def says(*phrases: str) -> Column:
 
 
 def match_lexicon(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
-    """Signals whose keywords occur, in the lexicon's order: as written, without blanks, or without blanks and dots."""
-    tight = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(""))
-    bare = F.replace(tight, F.lit("."), F.lit(""))
+    """Signals whose keywords occur, in the lexicon's order: as written, without blanks, or without blanks and dots.
+
+    What occurs as written also does once the same characters are taken out of text and keyword, so the last
+    way finds all that the others do; only a keyword with capitals may occur as written alone.
+    """
+    bare = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), F.lit("."), F.lit(""))
 
     def occurs(word: str) -> Column:
-        joined = word.lower().replace(" ", "")
-        return F.contains(text, F.lit(word)) | F.contains(tight, F.lit(joined)) | F.contains(bare, F.lit(joined.replace(".", "")))
+        found = F.contains(bare, F.lit(word.lower().replace(" ", "").replace(".", "")))
+        return found if word == word.lower() else found | F.coalesce(F.contains(text, F.lit(word)), F.lit(False))
 
     found = [F.when(reduce(Column.__or__, map(occurs, words)), name) for name, words in lexicon.items() if words]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")

@@ -179,9 +179,9 @@ def min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").filter(F.char_length("text") >= 3).select("doc_id")
 
 
-@R.add("q_regex_filter", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(account|bank|code)\b')")
+@R.add("q_regex_filter", rf"WITH {MESSAGES_SQL} SELECT id FROM m WHERE regexp_matches(text, '(?i)\b(account|bank|code)\b')")
 def regex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").filter(F.rlike("text", F.lit(r"(?i)\b(account|bank|code)\b"))).select("doc_id")
+    return messages(spark, sf_dir).filter(F.rlike("text", F.lit(r"(?i)\b(account|bank|code)\b"))).select("id")
 
 
 @R.add("q_project", "SELECT doc_id AS id, text AS message, lang AS language, 'documents' AS source_dataset FROM documents")

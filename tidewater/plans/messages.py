@@ -29,15 +29,24 @@ PHRASES = (
     "hech kimga bermang",
     "verification code: 1234",
     "go http://a.top.example.com/x",
-    "   ",
+    "your bank card is kept secure",
+    "please confirm the login code",
+    "you won a prize, congratulations",
+    "click this link http://x.uz/a now",
+    "urgent: transfer the money",
+    "hello, we have an offer",
+    "free download of the account book",
 )
+#: Added to the id of a document for the id of a message of blanks alone.
+BLANK_ID = 1_000_000_000_000
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and text: each whole document with a phrase chosen by its id, or the blank phrase alone."""
+    """id and text: each whole document with a phrase chosen by its id; and for every sixteenth one more message, of blanks."""
     phrase = F.array(*map(F.lit, PHRASES))[F.pmod("doc_id", F.lit(len(PHRASES))).cast("int")]
-    text = F.when(F.trim(phrase) == "", phrase).otherwise(F.concat("text", F.lit(" "), phrase))
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
+    docs = load(spark, sf_dir, "documents")
+    blank = docs.filter("doc_id % 16 = 15").select((F.col("doc_id") + BLANK_ID).alias("id"), F.lit("   ").alias("text"))
+    return docs.select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" "), phrase).alias("text")).unionByName(blank)
 
 
 def quoted(s: str) -> str:
@@ -45,8 +54,8 @@ def quoted(s: str) -> str:
 
 
 MESSAGES_SQL = f"""m AS (
-  SELECT doc_id AS id, CASE WHEN trim(p) = '' THEN p ELSE text || ' ' || p END AS text
-  FROM (SELECT *, [{', '.join(map(quoted, PHRASES))}][doc_id % {len(PHRASES)} + 1] AS p FROM documents))"""
+  SELECT doc_id AS id, text || ' ' || [{', '.join(map(quoted, PHRASES))}][doc_id % {len(PHRASES)} + 1] AS text FROM documents
+  UNION ALL SELECT doc_id + {BLANK_ID}, '   ' FROM documents WHERE doc_id % 16 = 15)"""
 WORD = r"\p{L}\p{N}_"
 COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
