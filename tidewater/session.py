@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the Parquet tables below `sf_dir`; works on any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; of this machine only where none is set and all runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewater-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a scratch folder and read again, so that loops have a short lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

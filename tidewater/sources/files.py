@@ -44,6 +44,25 @@ def scan(spark: SparkSession, spec: FileSpec) -> DataFrame:
     return spark.read.csv(spec.path, multiLine=spec.separator != "\t", **options)
 
 
+def sniff_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+    """A tab where the file's first line has one and no comma, else a comma. One line reaches the driver."""
+    first = spark.read.option("encoding", encoding).text(path).limit(1).first()
+    line = first["value"] if first is not None and first["value"] is not None else ""
+    return "\t" if "\t" in line and "," not in line else ","
+
+
+def fitting_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> str:
+    """UTF-8 where every file at the path is valid UTF-8, else the fallback. Files are checked where they are read."""
+    files = spark.read.format("binaryFile").load(path)
+    broken = files.select(F.is_valid_utf8(F.col("content").cast("string")).alias("ok")).filter("NOT ok").limit(1).count()
+    return fallback if broken else "UTF-8"
+
+
+def write_csv(rows: DataFrame, path: str, separator: str = ",") -> None:
+    """UTF-8 CSV with a header, every field quoted, blanks and line ends kept; `scan` reads it back."""
+    rows.write.mode("overwrite").csv(path, header=True, sep=separator, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def scan_tolerant(spark: SparkSession, path: str) -> DataFrame:
     """Lines as label and text, cut at the first tab; a line without one is text with a null label."""
     parts = F.split("value", "\t", 2)
