@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.results import norm_parts
 from tidewater.operators import history as H
 from tidewater.operators import metrics as M
 from tidewater.plans.registry import Registry
@@ -93,10 +94,11 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "q_time_floors",
-    f"""WITH {HISTORY_SQL} SELECT date_trunc('day', ts)::TIMESTAMP AS day, date_trunc('week', ts)::TIMESTAMP AS week, count(*) AS n FROM h GROUP BY 1, 2""",
+    f"""WITH {HISTORY_SQL} SELECT date_trunc('day', ts)::TIMESTAMP AS day, date_trunc('week', ts)::TIMESTAMP AS week, date_trunc('month', ts)::TIMESTAMP AS month,
+      count(*) AS n FROM h GROUP BY 1, 2, 3""",
 )
 def time_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(spark, sf_dir).groupBy(F.date_trunc("day", "ts").alias("day"), F.date_trunc("week", "ts").alias("week")).agg(F.count("*").alias("n"))
+    return history(spark, sf_dir).groupBy(F.date_trunc("day", "ts").alias("day"), F.date_trunc("week", "ts").alias("week"), F.date_trunc("month", "ts").alias("month")).agg(F.count("*").alias("n"))
 
 
 @R.add(
@@ -241,11 +243,20 @@ def latest_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "q_payload",
-    """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS payload FROM conversations GROUP BY 1""",
+    r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS part FROM conversations
+        UNION ALL SELECT conv_id, turn + 1000, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) FROM conversations WHERE turn % 2 = 0),
+      f AS (SELECT conv_id, part, min(turn) AS first FROM t WHERE part <> '' GROUP BY 1, 2),
+      c AS (SELECT conv_id, arg_min(role, turn) AS caption FROM conversations GROUP BY 1)
+      SELECT conv_id, max(caption) || coalesce(chr(10) || string_agg(part, chr(10) ORDER BY first) FILTER (part <> caption), '') AS payload
+      FROM c LEFT JOIN f USING (conv_id) GROUP BY conv_id""",
 )
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return parts.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("payload"))
+    """A post's caption (here the first role), then its parts that differ from it, each once; every second part comes twice."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    twice = turns.unionByName(turns.filter("turn % 2 = 0").withColumn("turn", F.col("turn") + 1000))
+    told = twice.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"), F.min_by("role", "turn").alias("caption"))
+    parts = F.filter(norm_parts(F.transform("p", lambda x: x["text"])), lambda x: x != F.col("caption"))
+    return told.select("conv_id", F.array_join(F.concat(F.array("caption"), parts), "\n").alias("payload"))
 
 
 @R.add(
