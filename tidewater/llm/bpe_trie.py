@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ from tidewater.session import load
 #: Fixed value: how byte-level tokenizers split a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a task keeps, and nodes of its trie; beyond either the task starts that anew.
-MOST_WORDS, MOST_NODES = 300_000, 200_000
+MOST_WORDS, MOST_NODES = 300_000, 400_000
 #: Bytes of a word that have nodes in the trie. What lies deeper is the tail of few words and kept for the word alone.
 DEPTH = 64
 #: After the rank of every merge; what a token of one byte is made of.
@@ -75,7 +74,7 @@ class TrieEncoder:
     def plant(self) -> None:
         """A trie of the root alone: children by node and byte, and each node's last token and where it starts."""
         self.children: dict[int, int] = {}
-        self.last_token, self.last_start = array("i", [-1]), array("i", [0])
+        self.last_token, self.last_start = [-1], [0]
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens side by side.
@@ -107,22 +106,26 @@ class TrieEncoder:
         self.valid[key] = known
         return known
 
-    def last_of(self, data: bytes, end: int, states: array, last: int) -> tuple[int, int]:
+    def last_of(self, data: bytes, end: int, states: list[int], last: int) -> tuple[int, int]:
         """The last token of data[:end] and its start; states: the last tokens of shorter prefixes, last: the
         start of the one before. One start fits, so any order will do: the last token with one more byte,
         shorter ones, longer ones."""
-        ids, valid = self.ids, self.valid
-        for start in (*range(last, end), *range(last - 1, max(0, end - self.longest) - 1, -1)):
-            token = ids.get(data[start:end])
+        get, known, follows = self.ids.get, self.valid.get, self.follows
+        start, step, stop = last, 1, end
+        while True:
+            token = get(data[start:end])
             if token is not None:
                 if not start:
                     return token, 0
-                fits = valid.get((states[start], token))
-                if fits is None:
-                    fits = self.follows(states[start], token)
-                if fits:
+                fits = known((states[start], token))
+                if fits or (fits is None and follows(states[start], token)):
                     return token, start
-        raise ValueError("the vocabulary lacks a token for a byte")
+            start += step
+            if start == stop:
+                lowest = max(0, end - self.longest) - 1
+                if step < 0 or last - 1 <= lowest:
+                    raise ValueError("the vocabulary lacks a token for a byte")
+                start, step, stop = last - 1, -1, lowest
 
     def encode_words(self, words: Iterable[str]) -> None:
         """Inserts `words` into the trie and adds their encodings to `self.encoded`, as little-endian 32-bit ids.
@@ -130,8 +133,8 @@ class TrieEncoder:
         Words come in byte order, so the trie is walked depth first: the path holds the states from the root
         to the current node, and goes back up to where the next word parts from the one before.
         """
-        before, nodes = b"", [0]
-        states, starts = array("i", [-1]), array("i", [0])
+        before, nodes, states, starts = b"", [0], [-1], [0]
+        get, known, last_of = self.ids.get, self.valid.get, self.last_of
         for data, word in sorted((w.encode(), w) for w in words):
             if len(self.last_token) > MOST_NODES:
                 self.plant()
@@ -141,22 +144,31 @@ class TrieEncoder:
             while shared < most and before[shared] == data[shared]:
                 shared += 1
             del states[shared + 1 :], starts[shared + 1 :], nodes[shared + 1 :]
-            for end in range(shared + 1, min(len(data), DEPTH) + 1):
-                edge = nodes[-1] << 8 | data[end - 1]
-                node = children.get(edge)
-                if node is None:
-                    token, start = self.last_of(data, end, states, starts[-1])
+            node = nodes[-1]
+            for end in range(shared + 1, len(data) + 1):
+                shallow = end <= DEPTH
+                if shallow:
+                    edge = node << 8 | data[end - 1]
+                    child = children.get(edge)
+                    if child is not None:
+                        node = child
+                        nodes.append(node)
+                        states.append(last_token[node])
+                        starts.append(last_start[node])
+                        continue
+                # Mostly the last token goes on by this byte.
+                start = starts[-1]
+                token = get(data[start:end])
+                if token is None or (start and not known((states[start], token))):
+                    token, start = last_of(data, end, states, start)
+                states.append(token)
+                starts.append(start)
+                if shallow:
                     node = children[edge] = len(last_token)
                     last_token.append(token)
                     last_start.append(start)
-                nodes.append(node)
-                states.append(last_token[node])
-                starts.append(last_start[node])
-            for end in range(max(shared, DEPTH) + 1, len(data) + 1):
-                token, start = self.last_of(data, end, states, starts[-1])
-                states.append(token)
-                starts.append(start)
-            found = array("i")
+                    nodes.append(node)
+            found = []
             at = len(data)
             while at:
                 found.append(states[at])
