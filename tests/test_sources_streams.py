@@ -75,11 +75,10 @@ def test_parts_and_blank_messages(spark):
 
 
 def test_rules_on_nulls_and_lexicon(spark):
-    from tidewater.plans.risk import LEXICON
-
+    small = {"prize_bait": ("win big", "sovrin yutdi"), "suspicious_link": ("t.me",), "greeting": ("salom", "привет")}
     kinds = "signals array<string>, intent string, text string, " + ", ".join(f"{f} boolean" for f in ("link", "suspicious_tld", "malicious_file", "double_extension", "has_file"))
     row = rules.judge(spark.createDataFrame([(None,) * 8], kinds), ("x",)).first()
     assert (row["hard_threat"], row["pattern_keys"], row["pattern_floor"]) == (False, [], 0)
     texts = spark.createDataFrame([("you w in b.ig",), ("go t.me",), ("got me",), ("",), (None,)], "text string")
-    got = [r[0] for r in texts.select(rules.match_lexicon(F.col("text"), LEXICON)).collect()]
+    got = [r[0] for r in texts.select(rules.match_lexicon(F.col("text"), small)).collect()]
     assert got == [["prize_bait"], ["suspicious_link"], ["suspicious_link"], [], []]
