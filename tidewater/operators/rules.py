@@ -53,12 +53,17 @@ def match_lexicon(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """
     bare = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), F.lit("."), F.lit(""))
 
-    def occurs(word: str) -> Column:
-        found = F.contains(bare, F.lit(word.lower().replace(" ", "").replace(".", "")))
-        return found if word == word.lower() else found | F.coalesce(F.contains(text, F.lit(word)), F.lit(False))
+    def signals_in(stripped: Column) -> Column:
+        def occurs(word: str) -> Column:
+            found = F.contains(stripped, F.lit(word.lower().replace(" ", "").replace(".", "")))
+            return found if word == word.lower() else found | F.coalesce(F.contains(text, F.lit(word)), F.lit(False))
 
-    found = [F.when(reduce(Column.__or__, map(occurs, words)), name) for name, words in lexicon.items() if words]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        return F.array_compact(F.array(*(F.when(reduce(Column.__or__, map(occurs, words)), name) for name, words in lexicon.items() if words)))
+
+    if not any(lexicon.values()):
+        return F.array().cast("array<string>")
+    # Stripped once a text: as a plain expression it would be stripped for each keyword.
+    return F.get(F.transform(F.array(bare), signals_in), F.lit(0))
 
 
 def suppress(found: Column) -> Column:
