@@ -35,15 +35,20 @@ def file_names(text: Column) -> Column:
     Runs of the signs that names consist of are cut out first, each up to the last ending in it: so no sign is looked at more
     often than there are endings.
     """
-    runs = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{FILE_SIGNS}+"), F.lit(0)), lambda r: F.contains(r, F.lit(".")))
+    endings = DANGEROUS_ENDINGS + ARCHIVE_ENDINGS + DOCUMENT_ENDINGS
+    text = F.coalesce(text, F.lit(""))
+    ending_of_any = F.lit(r"(?i)\.(?:" + "|".join(e[1:] for e in endings) + ")")
+    runs = F.filter(F.regexp_extract_all(text, F.lit(f"{FILE_SIGNS}+"), F.lit(0)), lambda r: F.rlike(r, ending_of_any))
 
-    def of(ending: str) -> Column:
+    def of(ending: str, runs: Column) -> Column:
         pattern = ending.replace(".", r"\.")
         some = F.filter(runs, lambda r: F.contains(F.lower(r), F.lit(ending)))
         cut = F.transform(some, lambda r: F.regexp_extract(r, rf"(?i)^.*{pattern}", 0))
         return F.flatten(F.transform(cut, lambda r: F.regexp_extract_all(r, F.lit(rf"(?i){FILE_SIGNS}+?{pattern}"), F.lit(0))))
 
-    found = F.concat(*map(of, DANGEROUS_ENDINGS + ARCHIVE_ENDINGS + DOCUMENT_ENDINGS))
+    # The runs are cut out once a text, and of no text without an ending; as a plain expression they would be for each ending.
+    named = F.get(F.transform(F.array(runs), lambda rs: F.concat(*(of(e, rs) for e in endings))), F.lit(0))
+    found = F.when(F.rlike(text, ending_of_any), named).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(found, lambda f: F.trim(f)))
 
 

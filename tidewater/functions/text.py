@@ -102,7 +102,8 @@ def norm_rules(text: Column) -> Column:
 def extract_links(text: Column) -> Column:
     """Links of both passes, distinct, first pass first."""
     first = F.regexp_extract_all(text, F.lit(rf"(?:https?://|www\.|(?:{SHORTENERS})/)[A-Za-z0-9./?=&_%#:~-]*[A-Za-z0-9_/]"), F.lit(0))
-    second = F.regexp_extract_all(text, F.lit(rf"[A-Za-z0-9_-]+\.(?:{'|'.join(LINK_TLDS)})(?:[^A-Za-z0-9_]|$)"), F.lit(0))
+    # A name is tried from its start alone, or from where the last link ended: not from each of its letters.
+    second = F.regexp_extract_all(text, F.lit(rf"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]++\.(?:{'|'.join(LINK_TLDS)})(?:[^A-Za-z0-9_]|$)"), F.lit(0))
     return F.array_distinct(F.concat(first, F.transform(second, lambda s: F.regexp_replace(s, r"[^A-Za-z0-9_]$", ""))))
 
 

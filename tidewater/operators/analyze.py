@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import lexicon, results as X, text as T
 from tidewater.functions.fusion import fuse
 from tidewater.operators import rules
+from tidewater.operators.rules import settled
 
 #: Levels by score, and the result of a message with nothing in it.
 SAFE, SUSPICIOUS, DANGEROUS = "XAVFSIZ", "SHUBHALI", "XAVFLI"
@@ -18,13 +19,6 @@ def level(score: Column) -> Column:
     return F.when(score >= 70, DANGEROUS).when(score >= 40, SUSPICIOUS).otherwise(SAFE)
 
 
-def settled(rows: DataFrame, *columns: str) -> DataFrame:
-    """`rows` with the columns computed at this point. The optimizer would put a filter on a later column below,
-    with every reference replaced by what it stands for, which grows by powers; it leaves what a generator makes."""
-    others = [c for c in rows.columns if c not in columns]
-    return rows.select(*others, F.inline(F.array(F.struct(*columns))))
-
-
 def evidence(messages: DataFrame) -> DataFrame:
     """`messages` (id, message) with normalized text, intent, links, files, signals and the rule engine's flags.
 
@@ -69,7 +63,7 @@ def analyze(messages: DataFrame, dangerous: Column | None = None, suspicious: Co
     message without links and files has risk 0, no reasons and advice of its own.
     """
     nothing = F.lit(0.0)
-    rows = judged(messages)
+    rows = judged(messages).withColumn("financial_alert", T.contains_any(F.col("text"), lexicon.FINANCIAL_ALERTS))
     rows = rows.withColumn("base_score", rules.base_score(rules.suppress(F.col("signals")), lexicon.WEIGHTS))
     fused = fuse(F.col("base_score"), F.col("pattern_floor"), dangerous if dangerous is not None else nothing, suspicious if suspicious is not None else nothing, F.col("hard_threat"))
     rows = rows.withColumn("risk", rules.apply_safe_override(fused["risk"], F.col("pattern_keys"), F.col("hard_threat")))
@@ -78,14 +72,13 @@ def analyze(messages: DataFrame, dangerous: Column | None = None, suspicious: Co
     if dangerous is not None and suspicious is not None:
         best = F.greatest(dangerous, suspicious, F.lit(1.0) - dangerous - suspicious)
     rows = rows.withColumn("risk", F.when(blank, 0).otherwise(F.col("risk"))).withColumn("level", level(F.col("risk")))
-    rows = settled(rows, "base_score", "risk", "level")
+    rows = settled(rows, "base_score", "risk", "level", "financial_alert")
     keys = F.concat("signals", "pattern_keys")
     no_tokens = F.array().cast("array<string>")
     told = X.advice(F.col("signals"), F.col("intent"), F.col("has_file"), F.col("link"))
     return rows.withColumns(
         {
             "confidence": F.when(blank, "past").otherwise(X.confidence(F.col("risk"), best)),
-            "financial_alert": T.contains_any(F.col("text"), lexicon.FINANCIAL_ALERTS),
             "advice": F.when(blank, F.array(F.lit(EMPTY_ADVICE))).otherwise(told),
             "reasons": F.when(blank, no_tokens).otherwise(X.all_reasons(keys, F.col("level"), no_tokens, F.col("file"))),
             "first_link": F.get("links", F.lit(0)),

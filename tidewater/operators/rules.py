@@ -136,15 +136,22 @@ def highest(rules: list[tuple[str, int, Column]]) -> Column:
     return F.greatest(F.lit(0), *(F.when(when, floor).otherwise(0) for _, floor, when in rules))
 
 
+def settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with the columns computed at this point. The optimizer would put a filter on a later column below,
+    with every reference replaced by what it stands for, which grows by powers; it leaves what a generator makes."""
+    others = [c for c in rows.columns if c not in columns]
+    return rows.select(*others, F.inline(F.array(F.struct(*columns))))
+
+
 def judge(messages: DataFrame, safe_phrases: Sequence[str] = ()) -> DataFrame:
     """`messages` with hard_threat, pattern_keys (in rule order) and pattern_floor.
 
     A floor without a hard threat is capped at 60 before the intent rules; messages with no signal have floor 0.
     """
     safe = flag("suspicious_tld") | flag("malicious_file") | ~F.coalesce(F.col("intent").isin("WARNING", "INFO"), F.lit(False))
-    safe = ~safe & (says(*safe_phrases) if safe_phrases else F.lit(False))
+    safe = ~safe & F.col("says_safe")
     soft = reduce(Column.__add__, (has(s).cast("int") for s in SOFT_SIGNALS))
-    strong, hard = says(*STRONG_PHRASES), F.col("hard_threat")
+    strong, hard = F.col("says_strong"), F.col("hard_threat")
     early, late = [*floors()], combinations()
     early.insert(3, ("safe_override_applied", 5, safe))
     pressed = ~hard & ((soft >= 2) | strong)
@@ -155,7 +162,10 @@ def judge(messages: DataFrame, safe_phrases: Sequence[str] = ()) -> DataFrame:
     rules = [*early, ("soft_manipulation_floor", 0, pressed), *late]
     keys = F.array_compact(F.array(*(F.when(when, key) for key, _, when in rules)))
     floor = F.greatest(F.when(hard, before).otherwise(F.least(before, F.lit(60))), highest(late), F.when(five, 95).otherwise(0))
-    return messages.withColumn("hard_threat", hard_threat()).withColumn("pattern_keys", keys).withColumn("pattern_floor", floor)
+    # The text is searched once for the phrases; each rule would search it again.
+    searched = {"hard_threat": hard_threat(), "says_strong": says(*STRONG_PHRASES), "says_safe": says(*safe_phrases) if safe_phrases else F.lit(False)}
+    rows = settled(messages.withColumns(searched), *searched)
+    return rows.withColumns({"pattern_keys": keys, "pattern_floor": floor}).drop("says_strong", "says_safe")
 
 
 def apply_safe_override(score: Column, keys: Column, hard: Column) -> Column:
