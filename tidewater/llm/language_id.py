@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,12 +153,12 @@ def document_counts(usable: DataFrame, dimensions: int) -> tuple[np.ndarray, int
     return out[:-1], int(out[-1])
 
 
-def needed_cosines(cuts: list[np.ndarray], languages: list[np.ndarray], names: list[str], centroids: np.ndarray, params: LanguageParams) -> np.ndarray:
-    """`least` of a model: for each of CUTS a low quantile of the cosines of labelled texts' beginnings of that
+def needed_cosines(cuts: Iterable[tuple[np.ndarray, np.ndarray]], names: list[str], centroids: np.ndarray, params: LanguageParams) -> np.ndarray:
+    """`least` of a model, from the vectors and languages of each of CUTS, one cut at a time: a low quantile of the cosines of labelled texts' beginnings of that
     length with the centroid that is nearest and of their language. Centroids that few are nearest to take all of
     their language's; where these are few too, that of the cut before."""
     least = np.zeros((len(names), len(CUTS) + 1))
-    for k, (vectors, labels) in enumerate(zip(cuts, languages)):
+    for k, (vectors, labels) in enumerate(cuts):
         near = vectors @ centroids.T
         best = near.argmax(axis=1)
         nearest, score = np.array(names)[best], near[np.arange(len(near)), best]
@@ -196,7 +197,7 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
                 for size in (0, *CUTS):
                     whole = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + 256]]
                     rows = gram_counts([t[: size or None].decode("utf-8", "ignore") for t in whole], dimensions)
-                    packed = [np.minimum(r, 65_535).astype("<u2").tobytes() if len(t) >= size else None for r, t in zip(rows, whole)]
+                    packed = [zlib.compress(np.minimum(r, 65_535).astype("<u2").tobytes(), 1) if len(t) >= size else None for r, t in zip(rows, whole)]
                     made = [pa.array([size] * len(rows), pa.int32()), pa.array(packed, pa.binary())]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["lang", "h", "size", "counts"])
 
@@ -209,8 +210,13 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
     idf = (np.log((1 + n_docs) / (1 + with_grams)) + 1).astype(np.float32)
 
     def table(size: int) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.frombuffer(b"".join(r["counts"] for r in of_size[size]), "<u2").reshape(-1, dimensions).astype(np.float32)
-        return unit(np.log1p(counts) * idf), np.array([r["lang"] for r in of_size[size]], str)
+        """Vectors and languages of the sample's texts of one size; counts are unpacked in blocks, as most are 0."""
+        rows = of_size[size]
+        vectors = np.empty((len(rows), dimensions), np.float32)
+        for at in range(0, len(rows), 128):
+            packed = b"".join(zlib.decompress(r["counts"]) for r in rows[at : at + 128])
+            vectors[at : at + 128] = unit(np.log1p(np.frombuffer(packed, "<u2").reshape(-1, dimensions).astype(np.float32)) * idf)
+        return vectors, np.array([r["lang"] for r in rows], str)
 
     vectors, languages = table(0)
     rng = np.random.default_rng(params.seed)
@@ -221,8 +227,8 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
         names += [lang] * len(own)
         centroids.append(own)
     joined = np.concatenate(centroids).astype(np.float32)
-    cuts, labels = zip(*(table(size) for size in CUTS))
-    return LanguageModel(names, joined, idf, needed_cosines(cuts, labels, names, joined, params))
+    del vectors
+    return LanguageModel(names, joined, idf, needed_cosines(map(table, CUTS), names, joined, params))
 
 
 def predict(docs: DataFrame, model: LanguageModel, least_similarity: float) -> DataFrame:
