@@ -74,3 +74,19 @@ def test_balance_follows_the_table(spark, tmp_path):
     assert by == {"SAFE": 3_080, "DANGEROUS": 1_960} and {r[0] for r in kept.select("lang").distinct().collect()} == {"en", "fr"}
     ham = CURATION["q_english_ham"](spark, str(tmp_path))
     assert ham.filter("lang = 'en' AND doc_id % 3 = 0").count() == 2_500 and ham.filter("NOT (lang = 'en' AND doc_id % 3 = 0)").count() == 8_666
+
+
+def test_link_and_file_names_at_odd_places(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.functions import results, text
+
+    told = {
+        "a.xyz-b.top": (["a.xyz", "b.top"], []),
+        "w" * 200_000 + " win.xyz": (["win.xyz"], []),
+        "see A.EXE, b.pdf": ([], ["see A.EXE", "b.pdf"]),
+        None: (None, []),
+    }
+    table = spark.createDataFrame([(t,) for t in told], "t string")
+    for r in table.select("t", text.extract_links(F.col("t")).alias("links"), results.file_names(F.col("t")).alias("files")).collect():
+        assert (r["links"], r["files"]) == told[r["t"]], str(r["t"])[:20]
