@@ -4,6 +4,7 @@ from tidewater.llm import (
     bpe_trie,
     chat_format,
     decontaminate,
+    fill_in_middle,
     language_id,
     quality_ratio,
     sharding,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_bpe_trie": bpe_trie.op8_bpe_trie,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash_golay": simhash_golay.op10_simhash_golay,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
 }
 ORACLES = {
     "op2_token_rollup": token_rollup.OP2_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
+    "op12_fill_in_middle": fill_in_middle.OP12_SQL,
 }
