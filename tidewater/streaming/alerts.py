@@ -21,34 +21,41 @@ def drop_repeats(messages: DataFrame, keys: list[str], ts: str = "ts", ttl: str
     return messages.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def limit_alerts(alerts: DataFrame, key: str, event_id: str, limit: tuple[int, int], ts: str = "ts", edge: bool = True) -> DataFrame:
+def limit_alerts(alerts: DataFrame, key: str, event_id: str, limit: tuple[int, int], ts: str = "ts", edge: bool = True, late: str = "1 hour") -> DataFrame:
     """`key`, `event_id`, ts and accepted: at most so many accepted alerts per key in so many milliseconds.
 
     With `edge`, an accepted alert exactly as old as the window still counts. The state of a key is the times of its last
-    accepted alerts, as many as the limit. Within a batch alerts go by time, then id; a late one is judged against what was
-    accepted. Rows without a key share one state, rows without a time are refused. A task holds one key's rows of one batch:
-    the source's rate per trigger bounds them.
+    accepted alerts, as many as the limit, and goes once the watermark, which follows by `late`, has passed the window of
+    the last. Within a batch alerts go by time, then id; a late one is judged against what was accepted, one behind the
+    watermark goes. Rows without a key share one state, rows without a time are refused. A task holds one key's rows of
+    one batch: the source's rate per trigger bounds them.
     """
     most, span = limit
 
     def judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ms", "id"], kind="stable", na_position="last")
+        rows = pd.concat(list(frames)).sort_values(["ms", "id"], kind="stable")
         accepted = []
         for ms in rows["ms"]:
-            known = not pd.isna(ms)
-            if known:
-                last = [t for t in last if ms - t < span or (edge and ms - t == span)]
-            accepted.append(known and len(last) < most)
+            last = [t for t in last if ms - t < span or (edge and ms - t == span)]
+            accepted.append(len(last) < most)
             if accepted[-1]:
                 last.append(int(ms))
         state.update((last,))
-        yield pd.DataFrame({"key": [group[0]] * len(rows), "id": rows["id"], "ms": rows["ms"].astype("Int64"), "accepted": accepted})
-
-    rows = alerts.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("id"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
-    return rows.groupBy("key").applyInPandasWithState(
-        judge, "key string, id long, ms long, accepted boolean", "last array<long>", "append", GroupStateTimeout.NoTimeout
+        if last:
+            state.setTimeoutTimestamp(max(max(last) + span, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"key": [group[0]] * len(rows), "id": rows["id"], "ms": rows["ms"], "accepted": accepted})
+
+    time = F.col(ts).cast("timestamp")
+    columns = F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("id"), F.unix_millis(time).alias("ms")
+    timed = alerts.filter(time.isNotNull()).select(*columns, time.alias("_time")).withWatermark("_time", late)
+    judged = timed.groupBy("key").applyInPandasWithState(
+        judge, "key string, id long, ms long, accepted boolean", "last array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return judged.unionByName(alerts.filter(time.isNull()).select(*columns, F.lit(False).alias("accepted")))
 
 
 def route(score: Column, channel: Column, threshold: Column | None = None) -> Column:
@@ -79,8 +86,16 @@ def live_counts(history: DataFrame, score: str = "score") -> DataFrame:
     )
 
 
-def joined_parts(parts: DataFrame) -> DataFrame:
-    """One message per message_id from its numbered parts; blank messages go, a missing sender is 'Unknown'."""
+def joined_parts(parts: DataFrame, ts: str | None = None, open_for: str = "1 hour") -> DataFrame:
+    """One message per message_id from its numbered parts; blank messages go, a missing sender is 'Unknown'.
+
+    With a time column `ts`, for streams in append mode: the parts of a message come within `open_for` of its first, and
+    the message leaves once the watermark is past that.
+    """
     body = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda p: F.coalesce(p["body"], F.lit(""))), ""))
-    rows = parts.groupBy("message_id").agg(body.alias("text"), F.min("sender").alias("sender"))
+    by = ["message_id"]
+    if ts is not None:
+        parts = parts.withWatermark(ts, open_for)
+        by.append(F.session_window(ts, open_for))
+    rows = parts.groupBy(*by).agg(body.alias("text"), F.min("sender").alias("sender"))
     return rows.filter("text != ''").withColumn("sender", F.coalesce(F.nullif(F.trim("sender"), F.lit("")), F.lit("Unknown")))
