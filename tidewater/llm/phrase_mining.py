@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import LOWER, UPPER, put, release_memory, written
+from tidewater.llm.common import LOWER, UPPER, release_memory, written
 from tidewater.session import load
 
 #: The characters that end a piece.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Of the dictionary, so many of the most frequent words go to every executor, if they are no longer than
 #: LONGEST characters; the others are joined.
-HOT_WORDS, LONGEST = 200_000, 64
+HOT_WORDS, LONGEST = 500_000, 64
 #: Characters of a text that are split at once, codes that are packed at once, and keys that a task holds.
 CHUNK, CODES, KEYS = 1 << 20, 1_000_000, 4_000_000
-#: Bytes of a key: two word numbers of 4, and 4 for none (0) or one more than the third's.
-WIDTH = 12
+#: A key is 12 bytes: two word numbers of 4, and 4 for none (0) or one more than the third's.
 #: Codes besides numbers: the end of a piece or an infrequent word; from LOOKUP down, a word to be looked up.
 BREAK, LOOKUP = -1, -2
-RUNS = "key binary, n long"
+RUNS = "part int, high binary, low binary, n binary"
+#: Equal steps of word numbers, and most frequent words, whose shares of all words say where ranges of keys end.
+STEPS, TALL = 4_096, 4_096
 #: Phrases of a language that one task ranks before the last round.
 BUCKET_ROWS = 500_000
 
@@ -37,7 +39,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame, least: int) -> DataFrame:
     """lang, word, f and m (a number of the row) of each word that occurs `least` times in its language, written; a
     row without a word has the occurrences of all others, so that a language's f add up to its words."""
-    words = texts.select("lang", F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("word")).filter("word != ''")
+    words = texts.select("lang", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).filter("word != ''")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("f"))
     kept = counts.groupBy("lang", F.when(F.col("f") >= least, F.col("word")).alias("word")).agg(F.sum("f").alias("f"))
     return written(kept.withColumn("m", F.monotonically_increasing_id()), "words")
@@ -112,16 +114,52 @@ class Tally:
                 yield runs
 
 
-def batches_of(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs as rows of a 12-byte key and its count."""
-    for at in range(0, len(high), 100_000):
-        h, w, c = high[at : at + 100_000], low[at : at + 100_000], n[at : at + 100_000]
-        data = np.empty((len(h), WIDTH), dtype=np.uint8)
-        data[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-        data[:, 8:] = w.astype(">u4").view(np.uint8).reshape(-1, 4)
-        offsets = np.arange(0, WIDTH * (len(h) + 1), WIDTH, dtype=np.int32)
-        keys = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([keys, pa.array(c)], names=["key", "n"])
+@dataclass
+class Ranges:
+    """Ranges of keys that hold about as many n-grams each, if words followed each other by chance. A key's place among
+    all is the share of the words before its first one, and within its first word's share that of the words before
+    its second, and so on. `base` tells the shares at equal steps of the numbers, `tall` those of the most frequent."""
+
+    parts: int
+    edges: np.ndarray
+    base: np.ndarray
+    tall: np.ndarray
+    tall_sums: np.ndarray
+
+    def before(self, numbers: np.ndarray) -> np.ndarray:
+        return np.interp(numbers, self.edges, self.base) + self.tall_sums[np.searchsorted(self.tall, numbers)]
+
+    def part(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The range of each key: a function of the key alone."""
+        place = np.where(low > 0, self.before(low.astype(np.int64) - 1), 0.0)
+        for word in (high & np.uint64(0xFFFFFFFF), high >> np.uint64(32)):
+            start = self.before(word.astype(np.int64))
+            place = start + (self.before(word.astype(np.int64) + 1) - start) * place
+        return np.minimum(place * self.parts, self.parts - 1).astype(np.int32)
+
+
+def ranges_of(words: DataFrame, parts: int) -> Ranges:
+    """The ranges of the dictionary `words`: two tables of a few thousand numbers go to the driver."""
+    size = words.agg(F.max("id")).first()[0]
+    size = 1 if size is None else size + 1
+    tall = sorted(words.orderBy(F.desc("f"), "id").limit(TALL).select("id", "f").collect())
+    others = words.join(F.broadcast(words.sparkSession.createDataFrame([(i,) for i, _ in tall], "id long")), "id", "left_anti")
+    steps = dict(others.groupBy(F.floor(F.col("id") * STEPS / size).alias("step")).agg(F.sum("f")).collect())
+    base = np.cumsum([0] + [steps.get(k, 0) for k in range(STEPS)]).astype(float)
+    sums = np.cumsum([0] + [f for _, f in tall]).astype(float)
+    total = max(base[-1] + sums[-1], 1.0)
+    return Ranges(parts, np.arange(STEPS + 1) * size / STEPS, base / total, np.array([i for i, _ in tall], dtype=np.int64), sums / total)
+
+
+def batches_of(high: np.ndarray, low: np.ndarray, n: np.ndarray, ranges: Ranges) -> Iterator[pa.RecordBatch]:
+    """Runs, a row for those of one range: their keys' first 8 and last 4 bytes, and their counts, side by side."""
+    part = ranges.part(high, low)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for first, last in zip(starts, [*starts[1:], len(part)]):
+        for at in range(first, last, CODES):
+            here = slice(at, min(at + CODES, last))
+            row = [[int(part[at])], *([c[here].tobytes()] for c in (high, low, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(c, pa.binary()) for c in row[1:])], names=["part", "high", "low", "n"])
 
 
 def pack(codes: np.ndarray, tally: Tally) -> None:
@@ -137,7 +175,7 @@ def pack(codes: np.ndarray, tally: Tally) -> None:
     tally.add(both[: len(more)][third], (codes[triples + 2] + 1).astype(np.uint32), np.ones(len(triples), dtype=np.int64))
 
 
-def packed(texts: Iterator[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+def packed(texts: Iterator[np.ndarray], ranges: Ranges, most: int) -> Iterator[pa.RecordBatch]:
     """The runs of all n-grams of texts' codes."""
     tally, waiting, size = Tally(most), [], 0
     for codes in texts:
@@ -147,14 +185,14 @@ def packed(texts: Iterator[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
             pack(np.concatenate(waiting), tally)
             waiting, size = [], 0
             for runs in tally.overflow():
-                yield from batches_of(*runs)
+                yield from batches_of(*runs, ranges)
     if waiting:
         pack(np.concatenate(waiting), tally)
-    yield from batches_of(*tally.settle())
+    yield from batches_of(*tally.settle(), ranges)
     release_memory()
 
 
-def runs_by_broadcast(texts: DataFrame, numbers: dict[str, dict[str, int]], most: int) -> DataFrame:
+def runs_by_broadcast(texts: DataFrame, numbers: dict[str, dict[str, int]], ranges: Ranges, most: int) -> DataFrame:
     """Runs of the n-grams of `texts` where `numbers` (by language, then word) holds the whole dictionary."""
     told = texts.sparkSession.sparkContext.broadcast(numbers)
 
@@ -167,12 +205,12 @@ def runs_by_broadcast(texts: DataFrame, numbers: dict[str, dict[str, int]], most
                     get = known.get(lang, {}).get
                     yield codes_of(text.as_py(), lambda w: get(w, BREAK))
 
-        yield from packed(each(), most)
+        yield from packed(each(), ranges, most)
 
     return texts.mapInArrow(run, RUNS)
 
 
-def runs_by_join(texts: DataFrame, numbers: dict[str, dict[str, int]], words: DataFrame, most: int) -> DataFrame:
+def runs_by_join(texts: DataFrame, numbers: dict[str, dict[str, int]], words: DataFrame, ranges: Ranges, most: int) -> DataFrame:
     """The same where other words of the dictionary, `words`, are too many for every executor: what a text has
     besides `numbers` is looked up by a join, a row a text and distinct word, and put into the text's codes."""
     told = texts.sparkSession.sparkContext.broadcast(numbers)
@@ -206,29 +244,23 @@ def runs_by_join(texts: DataFrame, numbers: dict[str, dict[str, int]], words: Da
                     looked[row["at"] or []] = row["id"] or []
                     yield np.where(codes <= LOOKUP, looked[np.clip(LOOKUP - codes, 0, row["n"])], codes)
 
-        yield from packed(each(), most)
+        yield from packed(each(), ranges, most)
 
     return met.mapInArrow(fill, RUNS)
 
 
-def count_runs(runs: DataFrame, least: int, most: int) -> DataFrame:
+def count_runs(runs: DataFrame, parts: int, least: int, most: int) -> DataFrame:
     """w1, w2, w3 (null for pairs) and a of each key that occurs `least` times. Keys are dealt out by ranges; a task
     sorts those of its range, counts their runs, and so holds distinct keys only."""
-    n_parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs.count() // most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(most)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0)
-            first = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset]
-            data = np.frombuffer(keys.buffers()[2], dtype=np.uint8)[first : first + WIDTH * len(keys)].reshape(-1, WIDTH)
-            high = np.ascontiguousarray(data[:, :8]).view(">u8").astype(np.uint64).ravel()
-            low = np.ascontiguousarray(data[:, 8:]).view(">u4").astype(np.uint32).ravel()
-            tally.add(high, low, batch.column(1).to_numpy())
-            if tally.size > 2 * most:
-                tally.settle()
+            for row in range(batch.num_rows):
+                held = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=t) for c, t in ((1, np.uint64), (2, np.uint32), (3, np.int64)))
+                tally.add(*(c.copy() for c in held))
+                if tally.size > 2 * most:
+                    tally.settle()
         high, low, n = tally.settle()
         high, low, n = (c[n >= least] for c in (high, low, n))
         for at in range(0, len(high), 100_000):
@@ -239,7 +271,7 @@ def count_runs(runs: DataFrame, least: int, most: int) -> DataFrame:
             )
         release_memory()
 
-    return runs.repartitionByRange(n_parts, "key").mapInArrow(run, "w1 long, w2 long, w3 long, a long")
+    return runs.repartitionById(parts, "part").mapInArrow(run, "w1 long, w2 long, w3 long, a long")
 
 
 def score_of(a: Column, left: Column, right: Column) -> Column:
@@ -276,8 +308,11 @@ def mine_phrases(docs: DataFrame, least: int = 10, inside_percent: int = 50, top
         numbers.setdefault(lang, {})[word] = number
     rest = words.join(F.broadcast(hot_ids(words.sparkSession, hot["id"])), "id", "left_anti")
     whole = words.count() == len(hot["id"])
-    made = runs_by_broadcast(texts, numbers, most_keys) if whole else runs_by_join(texts, numbers, rest, most_keys)
-    counted = written(count_runs(written(made, "runs"), least, most_keys), "phrases")
+    n_words = counts.agg(F.sum("f")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * n_words // most_keys)
+    ranges = ranges_of(words, parts)
+    made = runs_by_broadcast(texts, numbers, ranges, most_keys) if whole else runs_by_join(texts, numbers, rest, ranges, most_keys)
+    counted = written(count_runs(made, parts, least, most_keys), "phrases")
 
     first, second = (words.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"x{k}"), F.col("f").alias(f"f{k}"), *(["lang"] if k == 1 else [])) for k in (1, 2))
     two = written(counted.filter("w3 IS NULL").drop("w3").join(first, "w1").join(second, "w2"), "pairs")
