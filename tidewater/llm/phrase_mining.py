@@ -26,8 +26,8 @@ BREAK, LOOKUP = -1, -2
 RUNS = "part int, high binary, low binary, n binary"
 #: Equal steps of word numbers, and most frequent words, whose shares of all words say where ranges of keys end.
 STEPS, TALL = 4_096, 4_096
-#: Phrases of a language that one task ranks before the last round.
-BUCKET_ROWS = 500_000
+#: Buckets of a language's phrases that are ranked apart before the last round, and rows of each beyond so many buckets.
+BUCKETS, BUCKET_ROWS = 32, 200_000
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def first_of_each(scored: DataFrame, top: int) -> DataFrame:
     """The first `top` rows of each language by score, a and phrase, with their rank. Buckets of phrases give their
     own first ones before, so no task ranks more than a bucket or the buckets' first rows."""
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    buckets = max(1, scored.count() // BUCKET_ROWS)
+    buckets = max(BUCKETS, scored.count() // BUCKET_ROWS)
     bucket = F.pmod(F.xxhash64("phrase"), F.lit(buckets))
     few = scored.withColumn("_at", F.row_number().over(Window.partitionBy("lang", bucket).orderBy(*order))).filter(F.col("_at") <= top).drop("_at")
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
