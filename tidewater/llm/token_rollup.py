@@ -9,25 +9,27 @@ from tidewater.llm.common import remove, shared_dir, split_words
 from tidewater.session import load
 
 KEYS = ("source", "lang", "tokenizer_version")
+#: Steps after which one commit tells all ids.
+FOLD = 100
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
 class TokenRollup:
     """Additive totals by source, language and tokenizer version below one folder.
 
-    A batch is a set of signed rows: +1 inserts, -1 deletes, and a revised count is one of each. Batch ids
-    grow, as those of a stream do. A batch is summed by key, added to the totals of the last committed
-    batch, and written as new totals to the folder of its id; only then does a commit of that id appear.
-    The greatest committed id is the high-water mark: a batch at or below it is a repeat and changes
-    nothing, and one that broke off half-way is above it and simply done again. Reading takes the totals of
-    the mark alone, a row for each key, however many batches there were; those of older ones are deleted.
-    One writer at a time is expected.
+    A batch is a set of signed rows: +1 inserts, -1 deletes, and a revised count is one of each. A batch is summed
+    by key, added to the totals of the last commit, and written as the totals of the next step; only then does
+    that step's commit appear, which names the batch. A batch whose id was committed is a repeat and changes
+    nothing; any other counts, whatever its id, so that late batches are not lost. One that broke off half-way has
+    no commit and is simply done again. Reading takes the totals of the last step alone, a row for each key, however
+    many batches there were. Totals of the last `keep` steps stay, for readers that began before the last batches;
+    ids are told in one file for every FOLD steps. One writer at a time is expected.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3) -> None:
+        self.spark, self.path, self.keep = spark, path, keep
 
-    def _ids(self, folder: str) -> list[int]:
+    def _steps(self, folder: str) -> list[int]:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
         files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -35,10 +37,12 @@ class TokenRollup:
             return []
         return sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(where) if "=" in s.getPath().getName())
 
-    def mark(self) -> int | None:
-        """The greatest committed batch id."""
-        committed = self._ids("commits")
-        return committed[-1] if committed else None
+    def committed(self) -> DataFrame:
+        """batch_id of all batches that count. A step that is a multiple of FOLD tells all before it too."""
+        steps = self._steps("commits")
+        folded = max((s for s in steps if s % FOLD == 0), default=0)
+        told = [f"{self.path}/commits/step={s}" for s in steps if s >= folded]
+        return self.spark.read.schema("batch_id long").parquet(*told) if told else self.spark.createDataFrame([], "batch_id long")
 
     def apply(self, batch_id: int, changes: DataFrame) -> bool:
         """Adds and commits `changes` (source, lang, tokenizer_version, n_tokens, sign); False for a repeat.
@@ -46,28 +50,28 @@ class TokenRollup:
         Null sources, languages and versions are keys of their own; a null count is 0, a null sign +1.
         Repeated rows count each; other columns are ignored.
         """
-        mark = self.mark()
-        if mark is not None and batch_id <= mark:
+        ids = self.committed()
+        if not ids.filter(F.col("batch_id") == batch_id).isEmpty():
             return False
+        step = max(self._steps("commits"), default=0) + 1
         sign = F.coalesce("sign", F.lit(1)).cast("long")
         signed = changes.select(*KEYS, sign.alias("n_docs"), (sign * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
         # Tasks sum before the shuffle, so a source with most of the rows costs a row per task.
-        self._summed(self.totals().unionByName(signed)).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch_id}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch_id}")
-        for old in self._ids("totals"):
-            if old < batch_id:
-                remove(self.spark, f"{self.path}/totals/batch={old}")
-        for old in self._ids("commits"):
-            if old < batch_id:
-                remove(self.spark, f"{self.path}/commits/batch={old}")
+        self._summed(self.totals().unionByName(signed)).write.mode("overwrite").parquet(f"{self.path}/totals/step={step}")
+        new = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
+        told = new if step % FOLD else ids.unionByName(new)
+        told.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/step={step}")
+        for old in self._steps("totals"):
+            if old <= step - self.keep:
+                remove(self.spark, f"{self.path}/totals/step={old}")
         return True
 
     def totals(self) -> DataFrame:
         """Keys with documents or tokens, and their totals."""
-        mark = self.mark()
-        if mark is None:
+        last = max(self._steps("commits"), default=None)
+        if last is None:
             return self.spark.createDataFrame([], TOTALS)
-        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals/batch={mark}")
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals/step={last}")
 
     @staticmethod
     def _summed(rows: DataFrame) -> DataFrame:
