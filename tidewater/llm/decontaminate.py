@@ -11,8 +11,8 @@ from tidewater.session import load
 #: Words of a window.
 WINDOW = 10
 #: Windows of test items of up to so many bytes are broadcast, counting RECORD_BYTES for each besides its
-#: characters and items; more are joined by a shuffle, in SLICES of the places.
-MOST_BROADCAST, RECORD_BYTES, SLICES = 64 << 20, 64, 16
+#: characters and items; more are joined by a shuffle.
+MOST_BROADCAST, RECORD_BYTES = 64 << 20, 64
 #: Places of windows in a text.
 SPANS = "array<struct<start:int,len:int>>"
 #: Fixed value: the ASCII characters that part words, after lower-casing.
@@ -56,7 +56,7 @@ def places(words: DataFrame, lengths: list[int]) -> DataFrame:
 def gathered(found: DataFrame, *by: str) -> DataFrame:
     """`spans` and `item_ids` of each group of verified hits (span, items)."""
     return found.groupBy(*by).agg(
-        *(F.first(c).alias(c) for c in ("row", "n_words") if c in found.columns),
+        *(F.first(c, ignorenulls=True).alias(c) for c in ("row", "n_words") if c in found.columns),
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
     )
@@ -69,14 +69,16 @@ def gram_at(at: Column, length: Column) -> Column:
 
 def hits_by_broadcast(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
     """row, n_words, spans and item_ids of each of `rows` (id, row, w): every window is looked up in the
-    broadcast windows and verified in the same pass; only hits and one line a row are gathered."""
+    broadcast windows and verified in the same pass; only hits and one line a row are gathered. The row itself,
+    its text included, comes with its first place alone, so that hits cost no more than their spans."""
     each = places(rows.select("id", "row", "w"), lengths)
     same = (F.col("length") == F.col("len")) & (gram_at(F.col("at"), F.col("len")) == F.col("gram"))
     found = each.join(F.broadcast(grams), (F.col("hash") == F.col("h")) & same, "left")
-    found = found.filter(F.col("h").isNotNull() | F.col("at").isNull() | (F.col("at") == 0)).select(
+    leads = F.col("at").isNull() | ((F.col("at") == 0) & (F.col("length") == lengths[0]))
+    found = found.filter(F.col("h").isNotNull() | leads).select(
         "id",
-        "row",
-        F.size("w").cast("long").alias("n_words"),
+        F.when(leads, F.col("row")).alias("row"),
+        F.when(leads, F.size("w").cast("long")).alias("n_words"),
         F.when(F.col("h").isNotNull(), F.struct(F.col("at").alias("start"), F.col("len").alias("len"))).alias("span"),
         "items",
     )
@@ -87,21 +89,19 @@ def hits_by_shuffle(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> Da
     """The same for windows that are too many to broadcast.
 
     Texts stay where they are: what is shuffled of a place is its hash, with the row's 128-bit key. Places
-    whose hash is a window's (looked up in slices, since windows may be frequent) go back to their texts to
-    be verified word by word; spans and items are then joined to the rows. Equal rows share a key, and so
-    their hits; a row without hits needs none.
+    whose hash is a window's go back to their texts to be verified word by word; spans and items are then
+    joined to the rows. Each window is on its side of a join once, so where a window is frequent Spark's
+    adaptive plan splits the places alone. Equal rows share a key, and so their hits; a row without hits needs none.
     """
     key = ["k1", "k2"]
     keyed = rows.select("row", F.size("w").cast("long").alias("n_words"), "w", *key)
     each = places(keyed.select(*key, "w"), lengths).filter("hash IS NOT NULL").select(*key, "at", "length", "hash")
-    slices = F.sequence(F.lit(0), F.lit(SLICES - 1))
-    wanted = grams.select(F.col("len").alias("length"), F.col("h").alias("hash")).distinct().withColumn("slice", F.explode(slices))
-    seen = each.withColumn("slice", F.pmod(F.xxhash64("k1", "at"), F.lit(SLICES)).cast("int")).join(wanted, ["length", "hash", "slice"], "left_semi")
+    wanted = grams.select(F.col("len").alias("length"), F.col("h").alias("hash")).distinct()
+    seen = each.join(wanted, ["length", "hash"], "left_semi")
     seen = seen.groupBy(*key).agg(F.collect_set(F.struct("at", "length", "hash")).alias("seen"))
     shown = keyed.select(*key, "w").join(seen, key).select(*key, "w", F.explode("seen").alias("s"))
     shown = shown.select(*key, F.struct(F.col("s.at").alias("start"), F.col("s.length").alias("len")).alias("span"), gram_at(F.col("s.at"), F.col("s.length")).alias("gram"), F.col("s.hash").alias("h"))
-    sliced = grams.select("gram", "h", "items").withColumn("slice", F.explode(slices))
-    verified = shown.withColumn("slice", F.pmod(F.xxhash64("k1", "span"), F.lit(SLICES)).cast("int")).join(sliced, ["gram", "h", "slice"])
+    verified = shown.join(grams.select("gram", "h", "items"), ["gram", "h"])
     hits = gathered(verified.select(*key, "span", "items"), *key)
     return keyed.drop("w").join(hits, key, "left").select(
         "row",
