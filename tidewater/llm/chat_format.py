@@ -10,6 +10,8 @@ from tidewater.session import load
 
 #: The template. Texts and roles hold neither < nor > once they are escaped.
 OPEN, OPENED, NEXT, CLOSE = "<turn ", ">", "<next>", "</turn>"
+#: Code points of a block in which a place of the mask is found.
+BLOCK = 512
 #: Escapes: each backslash of an escaped text begins one of these.
 BACKSLASH, LESS, MORE = "\\s", "\\l", "\\g"
 
@@ -133,8 +135,18 @@ def parse(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"] + 1, m["length"]))), "")
+    """All text under the mask, unescaped, with nothing between. The text is cut into blocks once, so that a place
+    is found within its block and not from the start of the text."""
+
+    def piece(blocks: Column):
+        def read(m: Column) -> Column:
+            first, last = F.floor(m["start"] / BLOCK).cast("int"), F.floor((m["start"] + m["length"] - 1) / BLOCK).cast("int")
+            around = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return unescape(F.substr(around, (m["start"] % BLOCK + 1).cast("int"), m["length"]))
+
+        return read
+
+    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.array_join(F.transform(mask, piece(blocks)), ""))
 
 
 #: The query's own conversation, which tries the control strings.
