@@ -28,11 +28,12 @@ CUTS, FEWEST = (48, 192, 768), 20
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """per_language bounds the labelled rows that each language's centroids are fitted on; dimensions is a
-    power of two. Documents less similar than least_similarity to every centroid are rejected, and so are
+    """per_language bounds the labelled rows that each language's centroids are fitted on, most_rows those of all
+    languages: with more than most_rows / per_language languages each has fewer. dimensions is a power of two. Documents less similar than least_similarity to every centroid are rejected, and so are
     those less similar to the nearest than the share `outside` of that centroid's own members, times `slack`."""
 
     per_language: int = 500
+    most_rows: int = 10_000
     dimensions: int = 4096
     clusters: int = 4
     rounds: int = 10
@@ -182,8 +183,9 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
     none = LanguageModel([], np.zeros((0, params.dimensions), np.float32), np.ones(params.dimensions, np.float32), np.zeros((0, len(CUTS) + 1)))
     if not rows_of:
         return none
+    per_language = min(params.per_language, max(1, params.most_rows // len(rows_of)))
     space = 1 << 50
-    limits = F.create_map(*(F.lit(x) for lang, n in rows_of.items() for x in (lang, int(space * min(1.0, params.per_language / n)))))
+    limits = F.create_map(*(F.lit(x) for lang, n in rows_of.items() for x in (lang, int(space * min(1.0, per_language / n)))))
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(params.seed)), F.lit(space))
     # Of equal rows one is enough, so that no row with many copies fills the sample.
     sample = usable.filter(place < limits[F.col("lang")]).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").dropDuplicates(["lang", "h"])
@@ -197,7 +199,7 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
                 for size in (0, *CUTS):
                     whole = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + 256]]
                     rows = gram_counts([t[: size or None].decode("utf-8", "ignore") for t in whole], dimensions)
-                    packed = [zlib.compress(np.minimum(r, 65_535).astype("<u2").tobytes(), 1) if len(t) >= size else None for r, t in zip(rows, whole)]
+                    packed = [zlib.compress(r.astype("<u4").tobytes(), 1) if len(t) >= size else None for r, t in zip(rows, whole)]
                     made = [pa.array([size] * len(rows), pa.int32()), pa.array(packed, pa.binary())]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["lang", "h", "size", "counts"])
 
@@ -215,7 +217,7 @@ def fit(labelled: DataFrame, params: LanguageParams) -> LanguageModel:
         vectors = np.empty((len(rows), dimensions), np.float32)
         for at in range(0, len(rows), 128):
             packed = b"".join(zlib.decompress(r["counts"]) for r in rows[at : at + 128])
-            vectors[at : at + 128] = unit(np.log1p(np.frombuffer(packed, "<u2").reshape(-1, dimensions).astype(np.float32)) * idf)
+            vectors[at : at + 128] = unit(np.log1p(np.frombuffer(packed, "<u4").reshape(-1, dimensions).astype(np.float32)) * idf)
         return vectors, np.array([r["lang"] for r in rows], str)
 
     vectors, languages = table(0)
