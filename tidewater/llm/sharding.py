@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import written
 from tidewater.session import load
 
 #: Rows that share a slot block on average; blocks keep the numbering of a shard out of a single task.
@@ -70,7 +71,8 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float]) ->
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keys = ["doc_id", "text_crc32", "size"]
     rows = docs.select("doc_id", (F.octet_length(data) + F.lit(1)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("shard", rendezvous(F.col("doc_id"), weights).cast("int"))
+    # Written, as they are counted before they are numbered: texts are read once.
+    groups = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("shard", rendezvous(F.col("doc_id"), weights).cast("int")), "groups")
     numbered = number_slots(groups, "shard", keys, "n")
     # Copies in runs, so that no array is longer than one.
     run = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES_PER_RUN)))
