@@ -33,6 +33,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def boxed(docs: DataFrame, *apart: str | Column) -> DataFrame:
+    """The columns `apart` (names, or columns that are made of docs), and all others as one struct `row`, so that no name of theirs meets one of an operator's."""
+    names = {a for a in apart if isinstance(a, str)}
+    others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in names]
+    return docs.select(*apart, F.struct(*others, *([] if others else [F.lit(True).alias("none")])).alias("row"))
+
+
+def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a table that was boxed, in their order."""
+    within = rows.schema["row"].dataType.names
+    return rows.select(*(F.col("row").getField(c).alias(c) if c in within else F.col(c) for c in columns))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder. Where none is configured, one of this machine for a
     session that runs in this process alone; any other session has to name one."""

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import join_counted, put, remove
 
 
-def star(links: DataFrame, n_links: int, large: bool) -> DataFrame:
+def star(links: DataFrame, n_links: int, large: bool) -> tuple[DataFrame, str]:
     """Distinct new edges (a, b), a > b: the neighbours `b` of each `a` tied to the smallest of them and itself.
 
     A large star ties the larger neighbours alone. A small star gets none but smaller ones, and ties the node
-    too. Nodes with very many neighbours are tied where their links are, by join_counted.
+    too. Nodes with very many neighbours are tied where their links are, by join_counted. The smallest neighbours are
+    written, as they are read several times; their folder can go once the edges are written.
     """
-    least = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("_n"))
+    smallest = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("_n"))
+    path = put(smallest, "least")
+    least = links.sparkSession.read.schema(smallest.schema).parquet(path)
     tied = join_counted(links, least, "a", n_links)
     kept = tied.filter(F.col("b") > F.col("a")) if large else tied
     out = kept.select(F.col("b").alias("a"), F.col("least").alias("b"))
     if not large:
         out = out.union(least.select("a", F.col("least").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b").distinct(), path
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:
@@ -47,8 +50,12 @@ def least_reachable(edges: DataFrame) -> DataFrame:
     current, told = step(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while told[0]:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        larger, now = step(star(both, 2 * told[0], True))
-        current, now = step(star(larger, now[0], False))
+        large, large_path = star(both, 2 * told[0], True)
+        larger, now = step(large)
+        small, small_path = star(larger, now[0], False)
+        current, now = step(small)
+        for path in (large_path, small_path):
+            remove(spark, path)
         if now == told:
             break
         told = now

@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from tidewater.llm.common import join_counted, release_memory, written
+from tidewater.llm.common import boxed, join_counted, release_memory, unboxed, written
 from tidewater.llm.components import least_reachable
 from tidewater.session import load
 
@@ -265,18 +266,25 @@ def keep_first(docs: DataFrame) -> DataFrame:
     A row's key is 128 bits of hash over all its columns, nulls marked, so that only fully equal rows share
     one; of these one is kept.
     """
-    fields = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
-    keyed = docs.withColumns({f"_tw_k{i}": F.xxhash64(F.lit(i), *fields) for i in (1, 2)})
-    keys = ["_tw_k1", "_tw_k2"]
+    fields = [x for c in docs.schema for x in (F.col(f"`{c.name}`").isNull(), hashable(c))]
+    keys = ["k1", "k2"]
+    hashes = (F.xxhash64(F.lit(i), *fields).alias(f"k{i}") for i in (1, 2))
+    keyed = boxed(docs, "doc_id", "text", *hashes)
     prints = written(fingerprints(keyed, *keys), "fingerprints")
     _, smallest = named_nodes(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys))
     firsts = written(smallest.select("first.*").select(*keys), "firsts")
-    repeated = prints.groupBy(*keys).agg(F.count("*").alias("_tw_n")).filter("_tw_n > 1")
+    repeated = prints.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
     several = written(firsts.join(repeated, keys, "left_semi"), "several")
     # Only rows that have equals are grouped, each task's own first; the others' texts are shuffled once at most.
     alone = keyed.join(firsts.join(several, keys, "left_anti"), keys, "left_semi")
     grouped = keyed.join(several, keys, "left_semi").dropDuplicates(keys)
-    return alone.select(*docs.columns).unionByName(grouped.select(*docs.columns))
+    return unboxed(alone.unionByName(grouped), docs.columns)
+
+
+def hashable(field: StructField) -> Column:
+    """A column as a hash takes it: maps, wherever they are in it, have no hash, so it is hashed as JSON."""
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString() else column
 
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import release_memory
+from tidewater.llm.common import boxed, release_memory, unboxed
 from tidewater.llm.suffix_array import permuted_prefixes, suffix_array
 from tidewater.session import load
 
@@ -534,12 +534,13 @@ def remove_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFra
     empty ones empty. Null doc_ids count as 2^63-1, the largest. Rows with equal doc_ids don't remove
     from each other, and equal rows give equal rows. Other columns stay as they are, whatever their names.
     """
-    found = find_repeats(docs.withColumn("_tw_null", F.col("text").isNull()), most_records)
-    names = docs.columns
+    apart = boxed(docs, "doc_id", "text").withColumn("null", F.col("text").isNull())
+    found = find_repeats(apart, most_records)
+    names = ["doc_id", "text", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            null = batch.column("_tw_null").to_pylist()
+            null = batch.column("null").to_pylist()
             texts = [
                 None if no else cut_out(data, first, spans)[0].decode("utf-8", "ignore")
                 for (data, first, spans), no in zip(texts_and_spans(batch), null)
@@ -547,7 +548,7 @@ def remove_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFra
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return found.mapInArrow(run, docs.schema)
+    return unboxed(found.mapInArrow(run, apart.drop("null").schema), docs.columns)
 
 
 def texts_and_spans(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bool, bytes | None]]:
