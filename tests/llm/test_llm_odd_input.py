@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from importlib.util import find_spec
@@ -11,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewater.llm import bpe_trie, chat_format, common, components, decontaminate, language_id, quality_ratio, sharding, simhash_golay, suffix_dedup, token_rollup, url_filter
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,18 +63,25 @@ def test_grams_are_those_of_each_text_alone():
 # Token counts
 
 
-def test_rollup_keeps_totals_of_the_mark_alone(spark, tmp_path):
+def test_rollup_counts_each_batch_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_rollup, "FOLD", 3)
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     change = lambda *rows: spark.createDataFrame(list(rows), "source string, lang string, tokenizer_version string, n_tokens long, sign int, extra string")
-    assert rollup.mark() is None and rollup.apply(3, change().limit(0)) and rollup.totals().count() == 0
+    assert rollup.apply(3, change().limit(0)) and rollup.totals().count() == 0
     row = ("a", "en", "1", 5, 1, "x")
-    assert rollup.apply(4, change(row, row)) and rollup.apply(9, change(row)) and not rollup.apply(4, change(row))
-    assert sorted(map(tuple, rollup.totals().collect())) == [("a", "en", "1", 3, 15)] and rollup.mark() == 9
-    assert [p.name for p in (tmp_path / "r" / "totals").iterdir()] == ["batch=9"]
+    assert rollup.apply(5, change(row, row)) and rollup.apply(9, change(row)) and not rollup.apply(5, change(row))
+    before = rollup.totals()
+    # A late batch is no repeat.
+    assert rollup.apply(4, change(row)) and not rollup.apply(4, change(row)) and not rollup.apply(9, change(row))
+    assert sorted(map(tuple, rollup.totals().collect())) == [("a", "en", "1", 4, 20)]
+    assert sorted(r[0] for r in rollup.committed().collect()) == [3, 4, 5, 9]
+    # A reader that began before goes on; totals of older steps are gone.
+    assert sorted(map(tuple, before.collect())) == [("a", "en", "1", 3, 15)]
+    assert sorted(p.name for p in (tmp_path / "r" / "totals").iterdir()) == ["step=2", "step=3", "step=4"]
     # A batch that broke off before its commit is done again.
-    change(("b", "en", "1", 1, 1, "")).write.parquet(str(tmp_path / "r" / "totals" / "batch=10"))
+    change(("b", "en", "1", 1, 1, "")).write.parquet(str(tmp_path / "r" / "totals" / "step=5"))
     assert rollup.totals().count() == 1 and rollup.apply(10, change(("b", "en", "1", 2, 1, "")))
-    assert {r["source"]: r["n_tokens"] for r in rollup.totals().collect()} == {"a": 15, "b": 2}
+    assert {r["source"]: r["n_tokens"] for r in rollup.totals().collect()} == {"a": 20, "b": 2}
 
 
 # URLs
@@ -414,3 +423,60 @@ def test_stages_keep_what_they_should(spark):
     assert texts_of(stages["decontamination"](spark, repeats, SMALL)) == texts_of(repeats)
     encoded = stages["bpe"](spark, repeats, SMALL)
     assert encoded.count() == 4 and encoded.filter("NOT same").count() == 0
+
+
+# Columns of any name, and sizes at which the square of a length would show
+
+
+def test_stages_give_other_columns_back(spark):
+    text = "Un texte de quelques mots en français pour la langue et encore des mots qui suivent. "
+    names = ["score", "lang_pred", "rejected", "null", "row", "k1", "k2", "n", "h", "fp", "name", "_tw_key", "_tw_id", "_tw_first", "_tw_spans", "bucket", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, text + f"Numéro {i}, " + " ".join(f"mot{i}x{k}" for k in range(30)), "fr", "s", 0, {"t": i}, *(f"{n} {i}" for n in names)) for i in range(20)]
+    docs = spark.createDataFrame(rows + rows[:1], schema)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_repeats):
+        kept = stage(spark, docs, SMALL)
+        assert kept.columns == docs.columns
+        told = {r["doc_id"]: r for r in kept.collect()}
+        assert len(told) == 20
+        for i, r in told.items():
+            assert r["tags"] == {"t": i} and [r[n] for n in names] == [f"{n} {i}" for n in names]
+    # Rows that differ in a map alone are two rows; of fully equal ones one is left.
+    assert simhash_golay.keep_first(docs).count() == 20
+
+
+def seconds(work):
+    start = time.time()
+    work()
+    return time.time() - start
+
+
+def test_long_conversations_take_linear_time(spark):
+    def read_back(n):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text <of> turn ', id) AS text")
+        made = chat_format.format_conversations(turns)
+        return made.select(F.char_length(chat_format.masked_text(F.col("formatted"), F.col("loss_mask"))).alias("n")).collect()
+
+    read_back(100)
+    short, long = seconds(lambda: read_back(8_000)), seconds(lambda: read_back(32_000))
+    assert long < 8 * short + 1
+
+
+def test_documents_of_hits_take_linear_time(spark):
+    words = [f"w{i}" for i in range(64_000)]
+    items = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+
+    def clean(n):
+        docs = spark.createDataFrame([(i, f"some few words {i}") for i in range(300)] + [(999, " ".join(words[:n]))], "doc_id long, text string")
+        assert decontaminate.decontaminate(docs, items).count() == 300
+
+    clean(100)
+    short, long = seconds(lambda: clean(16_000)), seconds(lambda: clean(64_000))
+    assert long < 8 * short + 1
+
+
+def test_many_labels_share_the_sample(spark):
+    rows = [(i, f"label number {i % 300} has words like ab{i % 300}cd{i % 300}ef " * 3, f"l{i % 300:03}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, language_id.LanguageParams(per_language=3, most_rows=400, clusters=1))
+    assert len(model.centroids) <= 400
