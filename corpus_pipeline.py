@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe_trie, decontaminate, language_id, simhash_golay, suffix_dedup
-from tidewater.llm.common import written
+from tidewater.llm.common import boxed, unboxed, written
 from tidewater.session import load
 
 
@@ -15,7 +15,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     labelled nothing can be rejected but texts without a letter, and all others stay."""
     params = language_id.LanguageParams()
     model = language_id.fit(language_id.learn_from(docs), params)
-    return language_id.predict(docs, model, params.least_similarity).filter("NOT rejected").select(docs.columns)
+    judged = language_id.predict(boxed(docs, "text"), model, params.least_similarity)
+    return unboxed(judged.filter("NOT rejected"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
