@@ -94,6 +94,15 @@ class Golay:
         return np.sort(found, axis=1)[:, :-7:-1]
 
 
+#: Fingerprints of a run that one task compares; longer runs are parted by fifths of the bits.
+LONGEST_RUN = 50_000
+#: Fifths of 64 bits, as signed masks: every fifth bit, and stretches of 13.
+FIFTHS = [
+    [int(np.uint64(sum(1 << b for b in range(64) if fifth(b) == k)).view(np.int64)) for k in range(5)]
+    for fifth in (lambda b: b % 5, lambda b: b // 13)
+]
+
+
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in fps, key): two fingerprints at most 4 bits apart share a key.
 
@@ -176,7 +185,11 @@ def links_within(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints `fp`, enough to tie together all that are at most 4
-    bits apart: keys are dealt to tasks and sorted, and each run of one key is verified as a block."""
+    bits apart: keys are dealt to tasks and sorted, and each run of one key is verified as a block.
+
+    A run of more than LONGEST_RUN fingerprints isn't held: its rows are dealt anew by their key with each fifth of
+    the bits in turn, since of 4 errors one fifth has none, and what is long again by fifths of another kind.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,21 +200,59 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": key, "fp": part[place].view(np.int64)})
         release_memory()
 
+    found = tied(distinct.mapInPandas(emit, "key long, fp long"), LONGEST_RUN)
+    every = found.filter("NOT longer").select("a", "b")
+    for level in range(1, len(FIFTHS) + 1):
+        longer = found.filter("longer")
+        if longer.isEmpty():
+            break
+        fifths = F.array(*(F.xxhash64(F.col("b"), F.lit(k), F.col("a").bitwiseAND(F.lit(m))) for k, m in enumerate(FIFTHS[level - 1])))
+        again = longer.select(F.explode(fifths).alias("key"), F.col("a").alias("fp")).distinct()
+        # What two kinds of fifths have left in one run is compared in strips.
+        found = tied(again, LONGEST_RUN if level < len(FIFTHS) else 1 << 62)
+        every = every.unionByName(found.filter("NOT longer").select("a", "b"))
+    return every.distinct()
+
+
+def tied(keys: DataFrame, longest: int) -> DataFrame:
+    """Written links (a, b) within the runs of equal keys; of runs that are longer than `longest` each fingerprint
+    and its key, marked `longer`."""
+
     def tie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_keys, open_fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        open_keys, open_fps, passed = np.empty(0, np.int64), np.empty(0, np.uint64), None
         for batch in batches:
-            open_keys = np.concatenate((open_keys, batch["key"].to_numpy(np.int64)))
-            open_fps = np.concatenate((open_fps, batch["fp"].to_numpy(np.int64).view(np.uint64)))
+            keys_, fps = batch["key"].to_numpy(np.int64), batch["fp"].to_numpy(np.int64).view(np.uint64)
+            if passed is not None:
+                # The rest of a run that was too long.
+                rest = int(np.searchsorted(keys_, passed, side="right"))
+                yield marked(fps[:rest], keys_[:rest])
+                keys_, fps = keys_[rest:], fps[rest:]
+                if not len(keys_):
+                    continue
+                passed = None
+            open_keys, open_fps = np.concatenate((open_keys, keys_)), np.concatenate((open_fps, fps))
             # The last key may go on in the next batch.
             done = int(np.searchsorted(open_keys, open_keys[-1])) if len(open_keys) else 0
-            yield tie_runs(open_keys[:done], open_fps[:done])
+            yield from within(open_keys[:done], open_fps[:done])
             open_keys, open_fps = open_keys[done:], open_fps[done:]
-        yield tie_runs(open_keys, open_fps)
+            if len(open_keys) > longest:
+                passed = open_keys[-1]
+                yield marked(open_fps, open_keys)
+                open_keys, open_fps = open_keys[:0], open_fps[:0]
+        yield from within(open_keys, open_fps)
         release_memory()
 
-    keys = distinct.mapInPandas(emit, "key long, fp long")
+    def within(sorted_keys: np.ndarray, fps: np.ndarray) -> Iterator[pd.DataFrame]:
+        _, run, sizes = np.unique(sorted_keys, return_inverse=True, return_counts=True)
+        long = (sizes > longest)[run] if len(run) else np.empty(0, bool)
+        yield marked(fps[long], sorted_keys[long])
+        yield tie_runs(sorted_keys[~long], fps[~long]).assign(longer=False)
+
+    def marked(fps: np.ndarray, sorted_keys: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": fps.view(np.int64), "b": sorted_keys, "longer": True})
+
     dealt = keys.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(tie, "a long, b long").distinct()
+    return written(dealt.mapInPandas(tie, "a long, b long, longer boolean"), "links")
 
 
 def tie_runs(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
