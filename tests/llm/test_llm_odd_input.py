@@ -332,8 +332,10 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     assert sorted(map(tuple, common.join_counted(rows, keyed, "k", 10).collect())) == sorted((k, i, "abc".index(k) + 1) for i, k in enumerate("aaaaaaabbc"))
 
 
-def test_classes_of_hot_fingerprints(spark, texts, monkeypatch):
+@pytest.mark.parametrize("longest", [50_000, 2])
+def test_classes_of_hot_fingerprints(spark, texts, monkeypatch, longest):
     monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(simhash_golay, "LONGEST_RUN", longest)
     rows = [(i, t) for i, t in texts.items()] + [(1000 + i, "copies of one text that is very frequent here") for i in range(50)]
     found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash_golay.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     ids = [i for i, _ in rows]
@@ -480,3 +482,19 @@ def test_many_labels_share_the_sample(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(docs, language_id.LanguageParams(per_language=3, most_rows=400, clusters=1))
     assert len(model.centroids) <= 400
+
+
+def test_long_runs_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(400)], np.uint64)
+    fps = np.unique(base[rng.integers(0, 3, 400)] ^ flips)
+    monkeypatch.setattr(simhash_golay, "LONGEST_RUN", 5)
+    found = simhash_golay.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")).collect()
+    pairs = np.array([(r["a"], r["b"]) for r in found], np.int64).view(np.uint64)
+    assert (np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 4).all()
+    place = {int(f): i for i, f in enumerate(fps)}
+    left, right = (np.array([place[int(x)] for x in pairs[:, k]]) for k in (0, 1))
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    # As many ties as all links together make.
+    assert len(simhash_golay.forest(fps, left, right)[0]) == len(simhash_golay.forest(fps, i, j)[0])
