@@ -26,7 +26,7 @@ def test_classifiers_judge_unseen_rows(spark):
     assert all(abs(r["p_a"] + r["p_b"] + r["p_c"] - 1) < 1e-6 for r in told)
     top = K.coefficients(K.logistic(train, "label", size=50), 3).filter("side = 'for'").collect()
     assert {r["label"] for r in top} == {"a", "b", "c"} and all(set(r["term"].split()) <= set(WORDS[r["label"]].split()) for r in top)
-    boosted = K.predictions(table.filter("id >= 60"), K.boosted(train, "label", size=50, rounds=2)).collect()
+    boosted = K.predictions(table.filter("id >= 60"), K.boosted(train, "label", F.col("id") % 5 == 0, size=50, rounds=4, patience=2, rate=1.0)).collect()
     assert sum(r["predicted"] == r["label"] for r in boosted) > 20
 
 

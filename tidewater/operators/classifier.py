@@ -2,41 +2,64 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, MaxAbsScaler, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, MaxAbsScaler, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import URL_FLAG, clean_ml
-from tidewater.operators.features import grams, tokens
+from tidewater.operators import model_tables as T
+from tidewater.operators.features import grams, tokens, vocabulary
 from tidewater.session import settled
 
 #: The strength that a coefficient's square is punished with (the inverse), and rounds of the fit.
 C, ROUNDS = 10.0, 100
+#: Rounds of boosting after which the scores are written.
+SETTLED = 8
 
 
-def prepared(rows: DataFrame, longest: int = 2) -> DataFrame:
-    """`rows` (text) with the terms and the flags that the features are made of; null text is empty."""
-    text = F.coalesce("text", F.lit(""))
-    flags = {
+FLAG_NAMES = ("f_length", "f_url", "f_number")
+
+
+def flags_of(text: Column) -> dict[str, Column]:
+    """Length, whether there is a link, and whether there is a digit."""
+    return {
         "f_length": F.char_length(text).cast("double"),
         "f_url": F.rlike(F.lower(text), F.lit(URL_FLAG)).cast("double"),
         "f_number": F.rlike(text, F.lit("[0-9]")).cast("double"),
     }
-    return rows.withColumns({"terms": grams(tokens(clean_ml(F.col("text"))), longest), **flags})
 
 
-def feature_stages(size: int = 15_000) -> list:
-    """Terms weighted by smooth inverse document frequency, each row of length 1, beside the scaled flags."""
+def prepared(rows: DataFrame, longest: int = 2) -> DataFrame:
+    """`rows` (text) with the terms and the flags that the features are made of; null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.withColumns({"terms": grams(tokens(clean_ml(F.col("text"))), longest), **flags_of(text)})
+
+
+def feature_stages(rows: DataFrame, size: int = 15_000) -> list:
+    """Terms weighted by smooth inverse document frequency and one, each row of length 1, beside the scaled flags.
+
+    The vocabulary of `rows` (prepared) is at most `size` terms, the most frequent, ties to the smaller; it goes to the
+    driver, which gives it to the model.
+    """
+    counts = rows.select(F.monotonically_increasing_id().alias("_row"), F.explode("terms").alias("term")).groupBy("_row", "term").agg(F.count("*").alias("tf"))
+    known = vocabulary(counts, size).select("term", "df").collect()
+    n_rows = rows.count()
+    idf = [math.log((1 + n_rows) / (1 + r["df"])) + 1 for r in known]
     return [
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=size),
-        IDF(inputCol="counts", outputCol="weighted"),
+        CountVectorizerModel.from_vocabulary([r["term"] for r in known] or [""], inputCol="terms", outputCol="counts"),
+        ElementwiseProduct(scalingVec=Vectors.dense(idf or [0.0]), inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="words"),
-        VectorAssembler(inputCols=["f_length", "f_url", "f_number"], outputCol="flags"),
+        VectorAssembler(inputCols=list(FLAG_NAMES), outputCol="flags"),
         MaxAbsScaler(inputCol="flags", outputCol="scaled"),
         VectorAssembler(inputCols=["words", "scaled"], outputCol="features"),
     ]
@@ -53,19 +76,74 @@ def logistic(train: DataFrame, label: str, size: int = 15_000, longest: int = 2,
     """A multinomial logistic regression of `label` on the texts of `train`; vocabulary and weights are those of `train` alone."""
     rows = prepared(train.filter(F.col(label).isNotNull()), longest)
     rows = settled(balanced(rows, label) if weighted else rows.withColumn("weight", F.lit(1.0)), "prepared")
-    index = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep")
+    index = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="error")
     fit = LogisticRegression(
         labelCol="target", weightCol="weight", family="multinomial", maxIter=ROUNDS, regParam=1.0 / (C * max(1, rows.count())), standardization=False
     )
-    return Pipeline(stages=[index, *feature_stages(size), fit]).fit(rows)
-
-
-def boosted(train: DataFrame, label: str, size: int = 2_000, rounds: int = 10) -> PipelineModel:
-    """Boosted trees, one set against the rest for each label: Spark's own know two classes alone."""
-    rows = settled(prepared(train.filter(F.col(label).isNotNull())), "prepared")
-    index = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc")
-    trees = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=4, seed=7), labelCol="target", featuresCol="features", predictionCol="prediction")
-    return Pipeline(stages=[index, *feature_stages(size), trees]).fit(rows)
+    return Pipeline(stages=[index, *feature_stages(rows, size), fit]).fit(rows)
+
+
+@dataclass
+class Boosted:
+    """`features` (a fitted pipeline) and rounds of one tree a label; `losses` are those of the rows that judge, by round."""
+
+    features: PipelineModel
+    start: list[float]
+    rate: float
+    rounds: list[list[DecisionTreeRegressionModel]]
+    losses: list[float]
+
+
+def shares(scores: Column) -> Column:
+    """Probabilities of an array of scores."""
+    grown = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    return F.transform(grown, lambda g: g / F.aggregate(grown, F.lit(0.0), lambda s, x: s + x))
+
+
+def raised(rows: DataFrame, trees: Sequence[DecisionTreeRegressionModel], rate: float) -> DataFrame:
+    """`rows` with what a round's trees add to `scores`."""
+    for k, tree in enumerate(trees):
+        rows = tree.setPredictionCol(f"_t{k}").transform(rows)
+    added = F.array(*(F.get("scores", F.lit(k)) + F.lit(rate) * F.col(f"_t{k}") for k in range(len(trees))))
+    return rows.withColumn("scores", added).drop(*(f"_t{k}" for k in range(len(trees))))
+
+
+def boosted(train: DataFrame, label: str, judge: Column, size: int = 2_000, rounds: int = 100, patience: int = 15, rate: float = 0.3, depth: int = 4, least: float = 1e-4) -> Boosted:
+    """One boosting of all labels at once: each round fits a regression tree a label to what the probabilities of the rounds
+    before lack, on the rows for which `judge` is false. The mean log loss of the others ends it: after `patience` rounds
+    without an improvement by `least`, or after `rounds`; the rounds up to the best are kept.
+
+    Trees are fitted by Spark, those of a round side by side; labels are few. Scores are written every SETTLED rounds, so
+    the plan doesn't grow with the rounds.
+    """
+    every = settled(prepared(train.filter(F.col(label).isNotNull())).withColumn("_judge", F.coalesce(judge, F.lit(False))), "prepared")
+    fitted_on = every.filter("NOT _judge")
+    index = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip")
+    model = Pipeline(stages=[index, *feature_stages(fitted_on, size)]).fit(fitted_on)
+    names = list(model.stages[0].labels)
+    counts = {r[label]: r["count"] for r in fitted_on.groupBy(label).count().collect()}
+    start = [math.log(counts[n] / sum(counts.values())) for n in names]
+    rows = model.transform(every).select("features", F.col("target").cast("int").alias("target"), "_judge").withColumn("scores", F.array(*map(F.lit, start)))
+    rows, kept, losses, best = settled(rows, "scores"), [], [], 0
+
+    def fit(k: int) -> DecisionTreeRegressionModel:
+        lack = (F.col("target") == k).cast("double") - F.get(shares(F.col("scores")), F.lit(k))
+        return DecisionTreeRegressor(featuresCol="features", labelCol="_lack", maxDepth=depth, seed=7).fit(learnt.withColumn("_lack", lack))
+
+    with ThreadPoolExecutor(max(1, len(names))) as pool:
+        for turn in range(rounds):
+            learnt = rows.filter("NOT _judge")
+            kept.append(list(pool.map(fit, range(len(names)))))
+            rows = raised(rows, kept[-1], rate)
+            if turn % SETTLED == SETTLED - 1:
+                rows = settled(rows, "scores")
+            told = F.get(shares(F.col("scores")), F.col("target"))
+            losses.append(rows.filter("_judge").agg(F.avg(-F.log(F.greatest(told, F.lit(1e-12))))).first()[0] or 0.0)
+            if losses[-1] < losses[best] - least:
+                best = turn
+            if turn - best >= patience:
+                break
+    return Boosted(model, start, rate, kept[: best + 1], losses)
 
 
 def labels_of(model: PipelineModel) -> list[str]:
@@ -83,12 +161,35 @@ def probabilities(rows: DataFrame, model: PipelineModel, longest: int = 2) -> Da
     return scored.select(*rows.columns, *(told[i].alias(f"p_{name.lower()}") for i, name in enumerate(names)), picked.alias("predicted"))
 
 
-def predictions(rows: DataFrame, model: PipelineModel) -> DataFrame:
+def predictions(rows: DataFrame, model: Boosted) -> DataFrame:
     """`rows` with `predicted`, of boosted trees."""
     scored = prepared(rows)
-    for stage in model.stages[1:]:
+    for stage in model.features.stages[1:]:
         scored = stage.transform(scored)
-    return scored.select(*rows.columns, F.array(*map(F.lit, labels_of(model)))[F.col("prediction").cast("int")].alias("predicted"))
+    scored = scored.select(*rows.columns, "features").withColumn("scores", F.array(*map(F.lit, model.start)))
+    for trees in model.rounds:
+        scored = raised(scored, trees, model.rate)
+    names = F.array(*map(F.lit, model.features.stages[0].labels))
+    best = F.get(names, (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
+    return scored.select(*rows.columns, best.alias("predicted"))
+
+
+def as_tables(model: PipelineModel, longest: int = 2) -> T.TextModel:
+    """A logistic model as tables: vocabulary, idf, scales of flags and coefficients."""
+    spark = SparkSession.active()
+    terms, idf, scales = model.stages[1].vocabulary, model.stages[2].getScalingVec().toArray(), model.stages[5].maxAbs.toArray()
+    matrix = model.stages[-1].coefficientMatrix.toArray().T.tolist()
+    rows = [(t, float(i), w) for t, i, w in zip(terms, idf, matrix)]
+    flags = [(f, float(s) or 1.0, w) for f, s, w in zip(FLAG_NAMES, scales, matrix[len(terms) :])]
+    intercepts = model.stages[-1].interceptVector.toArray().tolist()
+    return T.TextModel(labels_of(model), intercepts, longest, len(rows), spark.createDataFrame(rows, T.TERMS), spark.createDataFrame(flags, T.FLAGS))
+
+
+def told_by_tables(rows: DataFrame, model: T.TextModel, key: str) -> DataFrame:
+    """`rows` with p_<label> and `predicted` of a logistic model kept as tables."""
+    text = F.coalesce("text", F.lit(""))
+    told = T.probabilities(rows, model, key, clean_ml(F.col("text")), flags_of(text))
+    return told.select(*rows.columns, *(F.get("p", F.lit(i)).alias(f"p_{name.lower()}") for i, name in enumerate(model.labels)), "predicted")
 
 
 def coefficients(model: PipelineModel, n: int = 20) -> DataFrame:
