@@ -15,6 +15,11 @@ SAFE, SUSPICIOUS, DANGEROUS = "XAVFSIZ", "SHUBHALI", "XAVFLI"
 EMPTY_ADVICE = "Xabar bo‘sh. Hech qanday xavf aniqlanmadi."
 
 
+#: The result of an analysis that failed.
+FAILED_RISK, FAILED_COLOR, FAILED_CONFIDENCE = 15, "yellow", "o‘rta"
+FAILED_REASON, FAILED_ADVICE = "Tahlil vaqtida kutilmagan xatolik yuz berdi", "Xabarni ehtiyotkorlik bilan ko‘rib chiqing."
+
+
 def level(score: Column) -> Column:
     return F.when(score >= 70, DANGEROUS).when(score >= 40, SUSPICIOUS).otherwise(SAFE)
 
@@ -84,3 +89,26 @@ def analyze(messages: DataFrame, dangerous: Column | None = None, suspicious: Co
             "first_link": F.get("links", F.lit(0)),
         }
     )
+
+
+def analyze_checked(payloads: DataFrame, dangerous: Column | None = None, suspicious: Column | None = None) -> DataFrame:
+    """`analyze` of raw `payloads` (id, payload: bytes), with `failed` and `color`: no row fails the job.
+
+    A payload that isn't UTF-8 can't be read, and probabilities that are missing, no numbers or not within 0 and 1 can't be
+    fused: such rows get the result of a failed analysis, others what `analyze` gives. A null payload is an empty message.
+    """
+    message = F.try_validate_utf8(F.col("payload").cast("string"))
+    failed = F.col("payload").isNotNull() & message.isNull()
+    told = []
+    for p in (dangerous, suspicious):
+        good = F.lit(True) if p is None else F.coalesce(~F.isnan(p) & p.between(0.0, 1.0), F.lit(False))
+        failed = failed | ~good
+        told.append(None if p is None else F.when(good, p).otherwise(F.lit(0.0)))
+    rows = analyze(payloads.withColumns({"message": message, "failed": failed}), *told)
+    color = F.when(F.col("risk") >= 70, "red").when(F.col("risk") >= 40, "yellow").otherwise("green")
+    instead = {
+        "risk": F.lit(FAILED_RISK), "level": level(F.lit(FAILED_RISK)), "confidence": F.lit(FAILED_CONFIDENCE), "advice": F.array(F.lit(FAILED_ADVICE)),
+        "reasons": F.array(F.lit(FAILED_REASON)), "first_link": F.lit(None).cast("string"), "financial_alert": F.lit(False),
+    }
+    rows = rows.withColumn("color", F.when(F.col("failed"), FAILED_COLOR).otherwise(color))
+    return rows.withColumns({name: F.when(F.col("failed"), value).otherwise(F.col(name)) for name, value in instead.items()})

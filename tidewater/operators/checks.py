@@ -121,3 +121,14 @@ def keep_trimmed(table: DataFrame, fresh: DataFrame, id: str, ts: str, days: int
     new = fresh.withColumn("_new", F.lit(1)).unionByName(table.withColumn("_new", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(id).orderBy(F.desc("_new"), F.desc(ts)))
     return new.withColumn("_k", rank).filter("_k = 1").drop("_k", "_new").filter(F.col(ts) >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+#: Bytes of a dictionary up to which it is sent to every executor; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: str, value: str, default: str) -> DataFrame:
+    """`rows` with the `value` that the dictionary `names` (each `key` once) has for their key, else the default."""
+    size = names.agg(F.sum(F.octet_length(F.concat_ws("", key, value)) + 64)).first()[0] or 0
+    table = F.broadcast(names) if size <= BROADCAST_BYTES else names
+    return rows.join(table, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))

@@ -9,12 +9,20 @@ from tidewater.operators import features as X
 from tidewater.session import settled
 
 
+#: Buckets of a group's vocabulary that are ranked apart.
+BUCKETS = 64
+
+
 def group_vectors(docs: DataFrame, key: str, group: str, size: int) -> DataFrame:
     """key, group, term, value and df: unit vectors over each group's most frequent terms."""
     counts = X.term_counts(docs, key).join(docs.select(key, group), key)
     terms = counts.groupBy(group, "term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("freq"), "term"))
-    terms = terms.withColumn("k", place).filter(F.col("k") <= size).join(docs.groupBy(group).agg(F.count("*").alias("n")), group)
+    # The most frequent of each bucket first, so that no task ranks a group's whole vocabulary.
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+    for by in ([group, bucket], [group]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("freq"), "term"))
+        terms = terms.withColumn("k", place).filter(F.col("k") <= size)
+    terms = terms.join(docs.groupBy(group).agg(F.count("*").alias("n")), group)
     weighted = counts.join(terms, [group, "term"]).withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, group, "term", (F.col("w") / length).alias("value"), "df")
@@ -48,19 +56,16 @@ def drop_near(docs: DataFrame, key: str, group: str, least: float = 0.95, size:
     sums = [F.sum(F.xxhash64("term", F.round("value", 9), F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
     same = vectors.groupBy(key, group).agg(*sums)
     firsts = same.groupBy(group, "h1", "h2").agg(F.min(key).alias("first"))
-    copies = same.join(firsts, [group, "h1", "h2"]).filter(F.col(key) > F.col("first")).select(key)
+    copies = settled(same.join(firsts, [group, "h1", "h2"]).filter(F.col(key) > F.col("first")).select(key), "copies")
     distinct = vectors.join(copies, key, "left_anti")
     pairs = settled(close_pairs(distinct, key, group, least), "pairs")
     open_ = settled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "open")
-    gone = []
+    gone = copies.select(F.col(key).alias("id"))
     while not open_.isEmpty():
         # Rows without an open earlier row are kept, and all that are close to them and later go.
         live = pairs.join(open_.withColumnRenamed("id", "a"), "a").join(open_.withColumnRenamed("id", "b"), "b")
         kept = open_.join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
         out = settled(live.join(kept.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct(), "out")
-        gone.append(out)
+        gone = settled(gone.unionByName(out), "gone")
         open_ = settled(open_.join(kept, "id", "left_anti").join(out, "id", "left_anti"), "open")
-    out = docs.join(copies, key, "left_anti")
-    for each in gone:
-        out = out.join(each.withColumnRenamed("id", key), key, "left_anti")
-    return out
+    return docs.join(gone.withColumnRenamed("id", key), key, "left_anti")

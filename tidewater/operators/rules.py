@@ -45,25 +45,55 @@ def says(*phrases: str) -> Column:
     return reduce(Column.__or__, (F.contains(F.coalesce("text", F.lit("")), F.lit(p)) for p in phrases))
 
 
+def trie_pattern(words: Sequence[str]) -> str:
+    """A pattern that matches the longest of the words at a place: their tree of letters, read once a place."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [f"\\x{{{ord(letter):x}}}" + written(below) for letter, below in sorted(node.items()) if letter]
+        if not branches:
+            return ""
+        inner = branches[0] if len(branches) == 1 else "|".join(branches)
+        return f"(?:{inner})?+" if "" in node else f"(?:{inner})" if len(branches) > 1 else inner
+
+    return written(tree)
+
+
+def stripped(word: str) -> str:
+    return word.lower().replace(" ", "").replace(".", "")
+
+
 def match_lexicon(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """Signals whose keywords occur, in the lexicon's order: as written, without blanks, or without blanks and dots.
 
     What occurs as written also does once the same characters are taken out of text and keyword, so the last
-    way finds all that the others do; only a keyword with capitals may occur as written alone.
+    way finds all that the others do; only a keyword with capitals may occur as written alone. A text is read
+    once for all keywords: at each place the tree of keywords gives the longest that begins there, and with it occur
+    all keywords that it begins with, and no others at that place.
     """
+    words = {name: {stripped(w) for w in keywords} for name, keywords in lexicon.items() if keywords}
+    every = sorted({w for found in words.values() for w in found if w})
+    if not words:
+        return F.array().cast("array<string>")
     bare = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), F.lit("."), F.lit(""))
+    hits = F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?=({trie_pattern(every)}))"), F.lit(1))) if every else F.array().cast("array<string>")
 
-    def signals_in(stripped: Column) -> Column:
-        def occurs(word: str) -> Column:
-            found = F.contains(stripped, F.lit(word.lower().replace(" ", "").replace(".", "")))
-            return found if word == word.lower() else found | F.coalesce(F.contains(text, F.lit(word)), F.lit(False))
+    def signals_in(found: Column) -> Column:
+        def occurs(name: str) -> Column:
+            if "" in words[name]:
+                return F.lit(True)
+            longest = [w for w in every if any(w.startswith(own) for own in words[name])]
+            capital = [F.coalesce(F.contains(text, F.lit(w)), F.lit(False)) for w in lexicon[name] if w != w.lower()]
+            return reduce(Column.__or__, capital, F.arrays_overlap(found, F.array(*map(F.lit, longest))))
 
-        return F.array_compact(F.array(*(F.when(reduce(Column.__or__, map(occurs, words)), name) for name, words in lexicon.items() if words)))
+        return F.array_compact(F.array(*(F.when(occurs(name), name) for name in words)))
 
-    if not any(lexicon.values()):
-        return F.array().cast("array<string>")
-    # Stripped once a text: as a plain expression it would be stripped for each keyword.
-    return F.get(F.transform(F.array(bare), signals_in), F.lit(0))
+    return F.get(F.transform(F.array(hits), signals_in), F.lit(0))
 
 
 def suppress(found: Column) -> Column:

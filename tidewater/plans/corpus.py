@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.dedup import keep_first, majority, member_count
-from tidewater.operators.split import capped, share_capped, stratified
+from tidewater.operators.split import capped, ranked, share_capped, stratified
 from tidewater.plans.registry import Registry
 from tidewater.session import load
 
@@ -31,17 +31,17 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     # The digest stands for the text from here on: only 32 hex digits go through the shuffle.
     docs = load(spark, sf_dir, "documents").filter(F.trim("text") != "").select("doc_id", "lang", F.md5(key).alias("key"))
-    ranked = docs.withColumn("rn", F.row_number().over(Window.partitionBy("lang", "key").orderBy("doc_id")))
+    # Copies are summed up where they are; only the first of each key meets the labels.
+    firsts = docs.groupBy("lang", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    first = F.col("rn") == 1
     return (
-        ranked.join(labels, "doc_id", "left")
+        firsts.join(labels, "doc_id", "left")
         .groupBy("lang")
         .agg(
-            F.count("*").alias("n_rows"),
-            F.count_if(first).alias("n_kept"),
-            F.count_if(~first).alias("n_removed"),
-            F.count_if(first & (F.col("quality") == 1)).alias("n_good"),
+            F.sum("n").alias("n_rows"),
+            F.count("*").alias("n_kept"),
+            (F.sum("n") - F.count("*")).alias("n_removed"),
+            F.count_if(F.col("quality") == 1).alias("n_good"),
         )
     )
 
@@ -87,10 +87,11 @@ kept("q_dedup_best", ["key"], [PRIORITY, "doc_id"])
         ORDER BY (lang = major)::INT DESC, {PRIORITY}, doc_id) AS rn FROM d JOIN m USING (key)) WHERE rn = 1""",
 )
 def leakage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(spark, sf_dir)
-    both = docs.join(majority(docs, "key", "lang", "major"), "key")
-    order = [(F.col("lang") == F.col("major")).cast("int").desc(), F.expr(PRIORITY), "doc_id"]
-    return keep_first(both, ["key"], order).select("doc_id", "lang", "source")
+    """One row of each key: the first of its most frequent language. Copies are summed up by key and language, and only
+    these sums meet by key."""
+    by_lang = keyed(spark, sf_dir).groupBy("key", "lang").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "source")).alias("best"))
+    chosen = by_lang.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang", "best")).alias("top"))
+    return chosen.select("top.best.doc_id", "top.lang", "top.best.source")
 
 
 @R.add(
@@ -196,3 +197,10 @@ def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return docs.unionByName(items, allowMissingColumns=True)
+
+
+@R.add("q_shuffled", "SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id::VARCHAR), doc_id) AS place FROM documents")
+def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place in a seeded shuffle of the whole table, by counts of buckets of the digest: no task sorts all rows."""
+    rows = ranked(load(spark, sf_dir, "documents").select("doc_id"), [], "doc_id")
+    return rows.select("doc_id", F.col("_place").cast("long").alias("place"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import language as L
 from tidewater.functions.text import WORD
 from tidewater.plans.messages import MESSAGES_SQL, any_sql, messages, quoted
+from tidewater.operators.checks import looked_up
 from tidewater.plans.registry import Registry
 from tidewater.session import load
 
@@ -102,6 +103,38 @@ def language_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@R.add(
+    "q_uncertain_log",
+    f"""WITH {TOKENS_SQL}, h AS (SELECT *, {HINT_SQL} AS hint FROM det), g AS (SELECT *, nullif({CODE_SQL.format('lower(trim(hint))')}, 'mixed') AS code FROM h),
+      r AS (SELECT id, hint, language AS detected, confidence AS detected_confidence,
+        CASE WHEN code IS NULL OR code = language OR confidence IN ('high', 'medium') THEN language ELSE code END AS language,
+        CASE WHEN code IS NULL THEN confidence WHEN code = language THEN 'high' WHEN confidence = 'high' THEN 'medium' ELSE 'low' END AS confidence,
+        CASE WHEN trim(hint) = '' THEN 'detected_only' WHEN code IS NULL THEN 'hint_unknown_using_detected' WHEN code = language THEN 'hint_and_detected_agree'
+          WHEN confidence = 'high' THEN 'detected_overrides_hint_' || code WHEN confidence = 'medium' THEN 'detected_vs_hint_' || code ELSE 'hint_used_low_detection' END AS method FROM g)
+      SELECT * FROM r WHERE confidence = 'low' OR contains(method, 'overrides') OR contains(method, 'mixed')""",
+)
+def uncertain_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the side log of uncertain languages: low confidence in the end, or a hint that was overridden."""
+    rows = hinted(L.by_tokens(messages(spark, sf_dir)).select("id", "language", "confidence"))
+    told = rows.withColumn("_r", L.resolve_hint(F.col("language"), F.col("confidence"), F.col("hint")))
+    log = told.select(
+        "id", "hint", F.col("language").alias("detected"), F.col("confidence").alias("detected_confidence"), *(F.col("_r")[i].alias(n) for i, n in enumerate(("language", "confidence", "method")))
+    )
+    return log.filter((F.col("confidence") == "low") | F.contains("method", F.lit("overrides")) | F.contains("method", F.lit("mixed")))
+
+
+@R.add(
+    "q_dictionary_lookup",
+    f"""WITH m AS (SELECT unnest({[*L.LANGUAGE_NAMES]!r}) AS name, unnest({[*L.LANGUAGE_NAMES.values()]!r}) AS code)
+      SELECT doc_id AS id, coalesce(m.code, 'unknown') AS language FROM documents LEFT JOIN m ON lower(trim(lang)) = m.name""",
+)
+def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by a join with the table of their names; each name is there once, so no row is doubled."""
+    names = spark.createDataFrame(list(L.LANGUAGE_NAMES.items()), "name string, code string")
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("lang")).alias("name"))
+    return looked_up(docs, names, "name", "code", "unknown").select("id", F.col("code").alias("language"))
+
+
 SHARE_SQL = f"""CASE WHEN c + l = 0 THEN 'en' WHEN {like_sql('low', f'{LETTERS}|{L.whole(L.SHARE_MARKERS)}')} THEN 'uz' WHEN c > l THEN 'ru' ELSE 'en' END"""
 
 

@@ -181,6 +181,25 @@ def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.col("risk").cast("int").alias("risk"), "level", "confidence", "financial_alert", "first_link")
 
 
+@R.add(
+    "q_failed_analysis",
+    f"""{JUDGED_SQL}, y AS (SELECT *, id % 10 = 0 OR id % 10 = 5 AS failed FROM l)
+      SELECT id, failed, CASE WHEN failed THEN 15 ELSE risk END::INT AS risk, CASE WHEN failed THEN 'XAVFSIZ' ELSE level END AS level,
+      CASE WHEN failed THEN {quoted(A.FAILED_CONFIDENCE)} WHEN nothing THEN 'past' ELSE 'yuqori' END AS confidence,
+      CASE WHEN failed THEN {quoted(A.FAILED_ADVICE)} END AS advice, CASE WHEN NOT failed THEN links[1] END AS first_link FROM y""",
+)
+def failed_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth payload is no UTF-8, and every tenth has a model's probability that is no number; of the others the
+    model is sure that they are safe, and so is the confidence of their results."""
+    rows = cases(spark, sf_dir)
+    data = F.col("message").cast("binary")
+    payload = F.when(F.col("id") % 10 == 0, F.concat(data, F.lit(b"\xc3"))).otherwise(data)
+    model = F.when(F.col("id") % 10 == 5, F.lit(float("nan"))).otherwise(F.lit(0.0))
+    told = A.analyze_checked(rows.select("id", payload.alias("payload"), model.alias("p")), F.col("p"), F.lit(0.0))
+    advice = F.when(F.col("failed"), F.array_join("advice", "|"))
+    return told.select("id", "failed", F.col("risk").cast("int").alias("risk"), "level", "confidence", advice.alias("advice"), "first_link")
+
+
 @R.add("q_safe_override", f"{JUDGED_SQL} SELECT id, fused::INT AS score, guarded::INT AS kept FROM l WHERE list_contains(keys, 'safe_override_applied')")
 def safe_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.judged(cases(spark, sf_dir)).filter(F.array_contains("pattern_keys", "safe_override_applied"))
