@@ -22,7 +22,7 @@ def stream_of(spark, rows):
     return spark.createDataFrame(rows, ROWS).withColumn("at", F.timestamp_millis("ms"))
 
 
-def judge(spark, rows, processor, kind, slices=3):
+def judge(spark, rows, processor, kind, slices=2):
     """Results by id, the stream stopped and started again between slices."""
     build = lambda s: limits.judged(limits.stream_rows(s, F.col("device"), F.col("id"), "at", F.col("item"), F.col("action"), F.col("score")), processor, kind)
     found = replayed(stream_of(spark, rows), "at", build, slices).collect()
@@ -151,12 +151,11 @@ def test_model_tables_agree_with_the_model(spark):
 
 def test_boosting_ends_early(spark):
     rng = random.Random(4)
-    table = spark.createDataFrame([(i, f"{'left' if i % 2 else 'right'} noise{rng.randrange(5)}", "ab"[i % 2] if rng.random() < 0.9 else "ab"[1 - i % 2]) for i in range(120)], "id long, text string, label string")
-    model = K.boosted(table, "label", F.col("id") % 4 == 0, size=20, rounds=30, patience=2, rate=1.0, depth=2, least=1e-3)
-    best = len(model.rounds) - 1
-    assert len(model.losses) == best + 3 < 30 and model.losses[best] < model.losses[0] + 1e-9
-    told = K.predictions(table, model)
-    assert told.filter("predicted = label").count() > 90
+    table = spark.createDataFrame([(i, f"{'left' if i % 2 else 'right'} noise{rng.randrange(5)}", "ab"[i % 2] if rng.random() < 0.9 else "ab"[1 - i % 2]) for i in range(80)], "id long, text string, label string")
+    model = K.boosted(table, "label", F.col("id") % 4 == 0, size=20, rounds=9, patience=1, rate=1.0, depth=1, least=0.05)
+    # One round more than the best had been tried.
+    assert len(model.losses) == len(model.rounds) + 1 < 9 and model.losses[-1] > model.losses[-2] - 0.05
+    assert K.predictions(table, model).filter("predicted = label").count() > 60
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -60,17 +60,22 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "broken")
     docs = documents(spark, sf_dir).filter("lang IS NOT NULL")
     line = F.concat_ws(",", F.col("doc_id").cast("string"), "lang", F.when(F.col("doc_id") % 4 == 0, "extra"))
-    header = spark.range(1).select(F.lit("doc_id,lang").alias("value"), F.lit(-1).cast("long").alias("doc_id"))
-    lines = header.unionByName(docs.select(line.alias("value"), "doc_id")).coalesce(1).sortWithinPartitions("doc_id").select("value")
-    lines.write.text(path)
+    # One column of whole lines, by the header's name, so that each file begins with the header.
+    docs.select(line.alias("doc_id,lang")).write.csv(path, header=True, sep="\x01", quote="", escape="")
     return S.scan(spark, S.FileSpec("docs", path)).select("doc_id", "lang")
 
 
+#: Bytes of texts in one JSON array.
+ARRAY_BYTES = 32 << 20
+
+
 @R.add("q_json_scan", "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text FROM documents WHERE text IS NOT NULL")
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that are one JSON array each."""
+    """Files that are one JSON array each, of about ARRAY_BYTES at most: an array is one value."""
     path = scratch(spark, "json")
-    rows = documents(spark, sf_dir).filter("text IS NOT NULL").select(F.to_json(F.struct("doc_id", "text")).alias("j"), F.pmod("doc_id", F.lit(16)).alias("part"))
+    docs = documents(spark, sf_dir).filter("text IS NOT NULL")
+    n_parts = max(16, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ARRAY_BYTES)
+    rows = docs.select(F.to_json(F.struct("doc_id", "text")).alias("j"), F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).alias("part"))
     rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
     return S.scan(spark, S.FileSpec("docs", path, format="json")).select("doc_id", F.md5("text").alias("text"))
 
@@ -148,9 +153,10 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and header of each file found below a folder."""
     path = scratch(spark, "inventory")
     rows = documents(spark, sf_dir).filter("lang IS NOT NULL").select("doc_id", "source", "lang")
-    rows.repartition(1).write.partitionBy("lang").csv(path, header=True)
-    found = S.inventory(spark, path)
-    return found.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("name"), "n_lines", "header")
+    rows.write.partitionBy("lang").csv(path, header=True)
+    found = S.inventory(spark, path).withColumn("name", F.regexp_extract("path", "lang=([^/]+)/", 1))
+    # Each file has its header; a folder's lines are counted with one.
+    return found.groupBy("name", "header").agg((F.sum("n_lines") - F.count("*") + 1).alias("n_lines"))
 
 
 @R.add(

@@ -52,9 +52,9 @@ def sniff_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
 
 
 def fitting_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> str:
-    """UTF-8 where every file at the path is valid UTF-8, else the fallback. Files are checked where they are read."""
-    files = spark.read.format("binaryFile").load(path)
-    broken = files.select(F.is_valid_utf8(F.col("content").cast("string")).alias("ok")).filter("NOT ok").limit(1).count()
+    """UTF-8 where every line of every file at the path is valid UTF-8, else the fallback. Lines come as the bytes that they
+    are, so files of any size are split, and the first bad line ends the search of its task."""
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     return fallback if broken else "UTF-8"
 
 
