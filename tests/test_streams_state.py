@@ -158,8 +158,13 @@ def test_boosting_ends_early(spark):
     assert K.predictions(table, model).filter("predicted = label").count() > 60
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_lexicon_in_one_pass(spark, seed):
+@pytest.mark.parametrize("automaton", [True, False])
+@pytest.mark.parametrize("seed", range(2))
+def test_lexicon_in_one_pass(spark, monkeypatch, seed, automaton):
+    if not automaton:
+        monkeypatch.setattr(rules, "ahocorasick", None)
+    elif rules.ahocorasick is None:
+        pytest.skip("the automaton's library isn't there")
     rng = random.Random(seed)
     letters = "ab. o‘A"
     word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))

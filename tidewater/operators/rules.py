@@ -9,9 +9,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 #: Signals that count as soft pressure, and phrases of strong pressure.
 SOFT_SIGNALS = ("account_update_pressure", "urgency_pressure", "promo_pressure", "vague_action_request")
 STRONG_PHRASES = ("aks holda", "cheklanadi", "vaqt tugayapti")
@@ -73,14 +79,50 @@ def match_lexicon(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
 
     What occurs as written also does once the same characters are taken out of text and keyword, so the last
     way finds all that the others do; only a keyword with capitals may occur as written alone. A text is read
-    once for all keywords: at each place the tree of keywords gives the longest that begins there, and with it occur
-    all keywords that it begins with, and no others at that place.
+    once for all keywords: by an automaton over batches of texts where its library is there, else by a pattern.
     """
-    words = {name: {stripped(w) for w in keywords} for name, keywords in lexicon.items() if keywords}
-    every = sorted({w for found in words.values() for w in found if w})
+    words = {name: tuple(sorted({stripped(w) for w in keywords})) for name, keywords in lexicon.items() if keywords}
+    capitals = {name: tuple(w for w in keywords if w != w.lower()) for name, keywords in lexicon.items()}
     if not words:
         return F.array().cast("array<string>")
     bare = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), F.lit("."), F.lit(""))
+    return (by_pattern if ahocorasick is None else by_automaton)(bare, text, words, capitals)
+
+
+def by_automaton(bare: Column, text: Column, words: Mapping[str, Sequence[str]], capitals: Mapping[str, Sequence[str]]) -> Column:
+    """The signals of texts without blanks and dots, a batch at a time; a keyword's signals are bits of a number."""
+    names = list(words)
+    bits: dict[str, int] = {}
+    for i, name in enumerate(names):
+        for word in words[name]:
+            bits[word] = bits.get(word, 0) | 1 << i
+    always = bits.pop("", 0)
+    spelled = [(1 << i, word) for i, name in enumerate(names) for word in capitals[name]]
+
+    @F.pandas_udf("array<string>")
+    def find(stripped_texts: pd.Series, texts: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for word, owners in bits.items():
+            automaton.add_word(word, owners)
+        automaton.make_automaton()
+        out = []
+        for short, whole in zip(stripped_texts, texts):
+            found = always
+            for _, owners in automaton.iter(short) if bits else ():
+                found |= owners
+            for owner, word in spelled:
+                if whole is not None and word in whole:
+                    found |= owner
+            out.append([name for i, name in enumerate(names) if found >> i & 1])
+        return pd.Series(out, dtype=object)
+
+    return find(bare, text)
+
+
+def by_pattern(bare: Column, text: Column, words: Mapping[str, Sequence[str]], capitals: Mapping[str, Sequence[str]]) -> Column:
+    """The same by a pattern: at each place the tree of keywords gives the longest that begins there, and with it occur
+    all keywords that it begins with, and no others at that place."""
+    every = sorted({w for own in words.values() for w in own if w})
     hits = F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?=({trie_pattern(every)}))"), F.lit(1))) if every else F.array().cast("array<string>")
 
     def signals_in(found: Column) -> Column:
@@ -88,7 +130,7 @@ def match_lexicon(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
             if "" in words[name]:
                 return F.lit(True)
             longest = [w for w in every if any(w.startswith(own) for own in words[name])]
-            capital = [F.coalesce(F.contains(text, F.lit(w)), F.lit(False)) for w in lexicon[name] if w != w.lower()]
+            capital = [F.coalesce(F.contains(text, F.lit(w)), F.lit(False)) for w in capitals[name]]
             return reduce(Column.__or__, capital, F.arrays_overlap(found, F.array(*map(F.lit, longest))))
 
         return F.array_compact(F.array(*(F.when(occurs(name), name) for name in words)))
