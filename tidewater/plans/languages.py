@@ -11,6 +11,7 @@ from tidewater.functions import language as L
 from tidewater.functions.text import WORD
 from tidewater.plans.messages import MESSAGES_SQL, any_sql, messages, quoted
 from tidewater.operators.checks import looked_up
+from tidewater.operators.rules import settled
 from tidewater.plans.registry import Registry
 from tidewater.session import load
 
@@ -117,6 +118,8 @@ def uncertain_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the side log of uncertain languages: low confidence in the end, or a hint that was overridden."""
     rows = hinted(L.by_tokens(messages(spark, sf_dir)).select("id", "language", "confidence"))
     told = rows.withColumn("_r", L.resolve_hint(F.col("language"), F.col("confidence"), F.col("hint")))
+    # Computed once: the filter reads it three times.
+    told = settled(told, "language", "confidence", "_r")
     log = told.select(
         "id", "hint", F.col("language").alias("detected"), F.col("confidence").alias("detected_confidence"), *(F.col("_r")[i].alias(n) for i, n in enumerate(("language", "confidence", "method")))
     )
