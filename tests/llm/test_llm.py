@@ -7,6 +7,7 @@ from collections import Counter
 from importlib.util import find_spec
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,37 @@ def test_suffix_dedup(docs, empty):
     assert kept.columns == [*docs.columns, "data"] and kept.filter("doc_id = 2 AND text IS NULL").count() == 1
 
 
+@pytest.mark.parametrize("remembered", [1, 64, 1 << 19])
+def test_suffix_dedup_files_a_frequent_key_once_a_task(monkeypatch, remembered):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 400)
+    rng = np.random.default_rng(3)
+    passage = bytes(rng.integers(97, 123, 60, np.uint8)).decode()
+    texts = [bytes(rng.integers(97, 123, 300, np.uint8)).decode() + (passage if i % 2 else "") for i in range(60)]
+    texts += [texts[7][:200], texts[8][100:] * 9, ""]
+    wanted = {}
+    for i, text in enumerate(texts):
+        for _, _, starts, data in suffix_dedup.cut([text.encode()]):
+            for key in suffix_dedup.records(starts, data)[4].tolist():
+                wanted.setdefault(key, set()).add(i)
+    wanted = {k: d for k, d in wanted.items() if len(d) > 1}
+    # Two tasks, several batches each, three buckets.
+    halves = [range(0, 33), range(33, len(texts))]
+    frames = lambda part: (pd.DataFrame({"_tw_key": list(part)[k : k + 5], "text": [texts[i] for i in list(part)[k : k + 5]]}) for k in range(0, len(part), 5))
+    rows = pd.concat([f for part in halves for f in suffix_dedup.nominate(frames(part), 3, remembered)])
+    found: dict[int, set[int]] = {}
+    for bucket in range(3):
+        for told in suffix_dedup.shared_keys(iter([rows[rows["bucket"] == bucket]])):
+            for doc, data in zip(told["doc"], told["data"]):
+                for key in suffix_dedup.unpack_keys(data).tolist():
+                    found.setdefault(key, set()).add(int(doc))
+    assert found == wanted
+    sent = [suffix_dedup.unpack_keys(x[4 + 12 * int.from_bytes(x[:4], "little") :]) for x in rows.loc[~rows["direct"], "data"]]
+    hot = max(wanted, key=lambda k: len(wanted[k]))
+    assert len(wanted[hot]) >= 30
+    if remembered > 64:
+        assert int((np.concatenate(sent) == np.uint64(hot)).sum()) == 2
+
+
 def test_suffix_dedup_of_a_hot_anchor(spark, docs):
     found = sorted(map(tuple, suffix_dedup.digests(docs, most_records=1).collect()), key=repr)
     assert found == sorted(removed([(i, t) for i, t, _ in ROWS]), key=repr)

@@ -137,9 +137,40 @@ def frame(rows: list[tuple[int, int | None, bytes]], dealt_by: str) -> pd.DataFr
     return pd.DataFrame({dealt_by: dealt, "direct": [x is not None for x in docs], "doc": [x or 0 for x in docs], "data": data})
 
 
-def nominate(batches: Iterator[pd.DataFrame], n_buckets: int) -> Iterator[pd.DataFrame]:
-    """Files the keys of each document in buckets. Keys that a piece has in several documents are told to
-    them at once (rows with `doc`); to its bucket a piece sends each key but once."""
+#: Keys that a task remembers while it files keys, one a place; and bits of a key.
+REMEMBERED, KEY_BITS = 1 << 19, 40
+
+
+def new_memory(size: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places for `size` keys (a power of two): the key, the document that was sent with it, and whether several have it."""
+    return np.full(size, np.iinfo(np.uint64).max), np.zeros(size, np.int64), np.zeros(size, bool)
+
+
+def sent_before(memory: tuple[np.ndarray, ...], key: np.ndarray, name: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which of distinct keys, with the name of a document each, a task has sent already; and keys and names to be told.
+
+    A key that is met again needs no second row in its bucket: where its documents differ both are told. The
+    others are remembered. A place whose key several documents have is kept, so that a key which is in every
+    piece of a corpus is sent about once a task; all others may be taken by later keys.
+    """
+    keys, names, hot = memory
+    at = (key >> np.uint64(KEY_BITS - (len(keys).bit_length() - 1))).astype(np.int64)
+    known = keys[at] == key
+    again = known & (names[at] != name)
+    first = again & ~hot[at]
+    told = np.concatenate((key[again], key[first])), np.concatenate((name[again], names[at[first]]))
+    hot[at[again]] = True
+    free = ~known & ~hot[at]
+    place = at[free]
+    keys[place], names[place], hot[place] = key[free], name[free], several[free]
+    return known, *told
+
+
+def nominate(batches: Iterator[pd.DataFrame], n_buckets: int, remembered: int = REMEMBERED) -> Iterator[pd.DataFrame]:
+    """Files the keys of each document in buckets. Keys that a piece has in several documents, or that the task
+    has met in another one, are told to them at once (rows with `doc`); to its bucket a piece sends only
+    keys that the task does not remember to have sent, each but once."""
+    memory = new_memory(remembered)
     for batch in batches:
         names = batch["_tw_key"].to_numpy(np.int64)
         for doc, _, starts, data in cut(t.encode("utf-8", "surrogatepass") for t in batch["text"]):
@@ -151,16 +182,20 @@ def nominate(batches: Iterator[pd.DataFrame], n_buckets: int) -> Iterator[pd.Dat
             fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
             key, owner = key[fresh], owner[fresh]
             cuts = runs(key)
-            shared = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+            several = np.diff(cuts) > 1
+            shared = np.repeat(several, np.diff(cuts))
+            told_key, told = key[shared], names[owner[shared]]
+            key, owner = key[cuts[:-1]], owner[cuts[:-1]]
+            known, more_keys, more = sent_before(memory, key, names[owner], several)
+            told_key, told = np.concatenate((told_key, more_keys)), np.concatenate((told, more))
             out = []
-            told_key, told = key[shared], owner[shared]
             by_doc = np.argsort(told, kind="stable")
             told_key, told = told_key[by_doc], told[by_doc]
             ends = runs(told)
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                name = int(names[told[a]])
+                name = int(told[a])
                 out.append((name % n_buckets, name, pack_keys(told_key[a:b])))
-            key, owner = key[cuts[:-1]], owner[cuts[:-1]]
+            key, owner = key[~known], owner[~known]
             bucket = (key % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((owner, bucket))
             key, owner, bucket = key[order], owner[order], bucket[order]
@@ -170,7 +205,8 @@ def nominate(batches: Iterator[pd.DataFrame], n_buckets: int) -> Iterator[pd.Dat
                 counts, docs = np.diff(within), names[owner[a:b][within[:-1]]]
                 head = np.array([len(docs)], "<u4").tobytes() + docs.astype("<i8").tobytes() + counts.astype("<u4").tobytes()
                 out.append((int(bucket[a]), None, head + pack_keys(key[a:b])))
-            yield frame(out, "bucket")
+            if out:
+                yield frame(out, "bucket")
 
 
 def shared_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
