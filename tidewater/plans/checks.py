@@ -196,19 +196,21 @@ def distinct_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", F.array_join(first, ",").alias("firsts"))
 
 
-SLOTS = {"bank": ("Alpha", "Beta", "Gamma"), "sum": ("100", "2 500"), "link": ("a.example.org", "b.example.org")}
+SLOTS = {"sum": ("100", "2 500"), "link": ("a.example.org", "b.example.org")}
 TEMPLATES = ("{bank}: pay {sum} now", "open {link}", "no slot at all", "{bank} sends {sum} over {link}")
 
 
 @R.add(
     "q_templates",
-    f"""SELECT t.k AS template, replace(replace(replace(t.text, '{{bank}}', b.v), '{{sum}}', s.v), '{{link}}', l.v) AS text
-      FROM (SELECT unnest(range({len(TEMPLATES)})) AS k, unnest({list(TEMPLATES)}) AS text) t, (SELECT unnest({list(SLOTS['bank'])}) AS v) b, (SELECT unnest({list(SLOTS['sum'])}) AS v) s,
+    f"""SELECT s_suppkey, t.k AS template, replace(replace(replace(t.text, '{{bank}}', s_name), '{{sum}}', s.v), '{{link}}', l.v) AS text
+      FROM supplier, (SELECT unnest(range({len(TEMPLATES)})) AS k, unnest({list(TEMPLATES)}) AS text) t, (SELECT unnest({list(SLOTS['sum'])}) AS v) s,
         (SELECT unnest({list(SLOTS['link'])}) AS v) l GROUP BY ALL""",
 )
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame(list(enumerate(TEMPLATES)), "template long, text string")
-    return C.filled_templates(table, SLOTS)
+    """Every template for every supplier, whose name is one slot's value, with all values of the other slots."""
+    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("k", "text"))
+    named = suppliers.select("s_suppkey", F.col("k").cast("long").alias("template"), F.replace("text", F.lit("{bank}"), F.col("s_name")).alias("text"))
+    return C.filled_templates(named, SLOTS)
 
 
 @R.add(

@@ -179,50 +179,53 @@ def label_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("doc_id", T.label_by_part(F.col("name")).alias("label"))
 
 
-GRID = {
-    "rule": (0, 39, 40, 54, 55, 60, 61, 69, 70, 100),
-    "floor": (0, 5, 40, 60, 70, 95),
-    "d": (0.0, 0.49, 0.5, 0.59, 0.6, 0.89, 0.9),
-    "s": (0.0, 0.5, 0.51, 0.69, 0.7),
-    "hard": (True, False),
-}
+SHARES_SQL = """p AS (SELECT user_id, ts::DATE AS day, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS d,
+        count(*) FILTER (event_type = 'click') / count(*)::DOUBLE AS s, count(*) FILTER (event_type NOT IN ('error', 'click')) / count(*)::DOUBLE AS safe
+      FROM events WHERE event_type IS NOT NULL GROUP BY ALL)"""
 
 
-def _values(name: str, sql: bool = True) -> str:
-    return ", ".join(f"({str(v).lower()})" for v in GRID[name])
+def shares(events: DataFrame) -> DataFrame:
+    """user_id, day, and the shares of a user's events of a day that are errors (d), clicks (s) and others (safe): the
+    probabilities of a model by frequencies. Counted where the events are before users meet."""
+    kind = F.col("event_type")
+    counts = events.filter(kind.isNotNull()).groupBy("user_id", F.to_date("ts").alias("day"))
+    told = {"d": kind == "error", "s": kind == "click", "safe": ~kind.isin("error", "click")}
+    return counts.agg(*((F.count_if(is_it) / F.count("*")).alias(name) for name, is_it in told.items()))
 
 
 @R.add(
     "q_fusion",
-    f"""WITH g AS (SELECT * FROM (VALUES {_values('rule')}) a(rule), (VALUES {_values('floor')}) b("floor"),
-        (VALUES {_values('d')}) c(d0), (VALUES {_values('s')}) e(s0), (VALUES {_values('hard')}) f(hard)),
-      x AS (SELECT rule, "floor", d0::DOUBLE AS d, s0::DOUBLE AS s, hard,
-        least(greatest(d0::DOUBLE::FLOAT * 100::FLOAT + s0::DOUBLE::FLOAT * 50::FLOAT, 0::FLOAT), 100::FLOAT) AS ml, greatest(rule, "floor")::FLOAT AS b FROM g),
+    f"""WITH {SHARES_SQL}, g AS (SELECT event_id, (floor(value) % 101)::INT AS rule, CASE event_type WHEN 'purchase' THEN 60 WHEN 'signup' THEN 40 WHEN 'error' THEN 5 ELSE 0 END AS "floor",
+        event_id % 2 = 0 AS hard, p.d, p.s FROM events e JOIN p ON p.user_id = e.user_id AND p.day = e.ts::DATE WHERE event_type IS NOT NULL),
+      x AS (SELECT *, least(greatest(d::FLOAT * 100::FLOAT + s::FLOAT * 50::FLOAT, 0::FLOAT), 100::FLOAT) AS ml, greatest(rule, "floor")::FLOAT AS b FROM g),
       y AS (SELECT *, CASE WHEN d >= 0.9 THEN greatest(b, 90::FLOAT) WHEN (d >= 0.5 OR s >= 0.7) AND ml > b
         THEN greatest(b, b * 0.4::FLOAT + ml * 0.6::FLOAT) ELSE b END AS l FROM x),
       z AS (SELECT *, CASE WHEN NOT hard AND l > 60 THEN 60::FLOAT ELSE l END AS c FROM y),
       w AS (SELECT *, CASE WHEN c >= 55 AND c < 70 AND (d >= 0.5 OR ml >= 65) THEN 70::FLOAT ELSE c END AS r FROM z),
       v AS (SELECT *, trunc(least(greatest(CASE WHEN s > 0.5 AND NOT hard AND r < 40 THEN 40::FLOAT ELSE r END, 0::FLOAT), 100::FLOAT))::INT AS risk FROM w)
-      SELECT rule, "floor", d, s, hard, risk, CASE WHEN risk >= 70 THEN 'DANGEROUS' WHEN risk >= 40 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS band FROM v""",
+      SELECT event_id, risk, CASE WHEN risk >= 70 THEN 'DANGEROUS' WHEN risk >= 40 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS band FROM v""",
 )
-def fusion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1)
-    for name, values in GRID.items():
-        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    grid = grid.drop("id")
-    parts = fusion.fuse(*(F.col(c) for c in ("rule", "floor", "d", "s", "hard")))
-    return grid.withColumn("risk", parts["risk"]).withColumn("band", T.risk_band(F.col("risk")))
+def fused_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's score by rule, the floor of its type, and its user's probabilities of the day, fused."""
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    floor = F.when(F.col("event_type") == "purchase", 60).when(F.col("event_type") == "signup", 40).when(F.col("event_type") == "error", 5).otherwise(0)
+    rows = events.filter("event_type IS NOT NULL").select(
+        "event_id", "user_id", F.to_date("ts").alias("day"), (F.floor("value") % 101).cast("int").alias("rule"), floor.alias("floor"), (F.col("event_id") % 2 == 0).alias("hard")
+    )
+    risk = fusion.fuse(*(F.col(c) for c in ("rule", "floor", "d", "s", "hard")))["risk"]
+    told = rows.join(shares(events), ["user_id", "day"]).select("event_id", risk.alias("risk"))
+    return told.withColumn("band", T.risk_band(F.col("risk")))
 
 
 @R.add(
     "q_model_label",
-    f"""SELECT d, s, safe, CASE WHEN d >= 0.6 THEN 'DANGEROUS' WHEN d >= s AND d >= safe THEN 'DANGEROUS' WHEN s >= safe THEN 'SUSPICIOUS' ELSE 'SAFE' END AS label
-      FROM (SELECT d::DOUBLE AS d, s::DOUBLE AS s, 1 - d::DOUBLE AS safe FROM (VALUES {_values('d')}) c(d), (VALUES {_values('s')}) e(s))""",
+    f"""WITH {SHARES_SQL} SELECT user_id, day::VARCHAR AS day,
+      CASE WHEN d >= 0.6 THEN 'DANGEROUS' WHEN d >= s AND d >= safe THEN 'DANGEROUS' WHEN s >= safe THEN 'SUSPICIOUS' ELSE 'SAFE' END AS label FROM p""",
 )
 def model_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, GRID["d"]))).alias("d"))
-    grid = grid.withColumn("s", F.explode(F.array(*map(F.lit, GRID["s"])))).withColumn("safe", 1 - F.col("d"))
-    return grid.withColumn("label", fusion.model_label(F.col("d"), F.col("s"), F.col("safe")))
+    """The label of each user's day by its three probabilities."""
+    label = fusion.model_label(F.col("d"), F.col("s"), F.col("safe"))
+    return shares(load(spark, sf_dir, "events")).select("user_id", F.col("day").cast("string").alias("day"), label.alias("label"))
 
 
 @R.add(
