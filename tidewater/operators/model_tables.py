@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.features import BROADCAST_TERMS, term_counts, vocabulary, weighted
+from tidewater.session import settled
 
 TERMS, FLAGS = "term string, idf double, weights array<double>", "flag string, scale double, weights array<double>"
 
@@ -79,9 +80,10 @@ def bayes(train: DataFrame, key: str, label: str, size: int = 2_000, longest: in
     rows = train.filter(F.col(label).isNotNull())
     n_rows = rows.count()
     counts = term_counts(rows, key, longest=longest)
-    known = vocabulary(counts, size)
+    # Both are used several times and have `size` rows, or so many a label; texts are read for them once each.
+    known = settled(vocabulary(counts, size), "vocabulary")
     values = weighted(counts, known, key, n_rows, size).join(rows.select(key, label), key)
-    sums = values.groupBy("term", label).agg(F.sum("value").alias("v"))
+    sums = settled(values.groupBy("term", label).agg(F.sum("value").alias("v")), "sums")
     shares = rows.groupBy(label).agg(F.count("*").alias("n")).join(sums.groupBy(label).agg(F.sum("v").alias("all")), label, "left").orderBy(label).collect()
     n_terms = known.count()
     by_term = sums.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct(label, "v"))).alias("v"))
