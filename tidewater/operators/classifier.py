@@ -9,16 +9,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, MaxAbsScaler, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import MaxAbsScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import URL_FLAG, clean_ml
 from tidewater.operators import model_tables as T
-from tidewater.operators.features import grams, tokens, vocabulary
+from tidewater.operators.features import grams, tokens, vocabulary, weighing
 from tidewater.session import settled
 
 #: The strength that a coefficient's square is punished with (the inverse), and rounds of the fit.
@@ -39,10 +38,20 @@ def flags_of(text: Column) -> dict[str, Column]:
     }
 
 
+def cleaned(rows: DataFrame) -> DataFrame:
+    """`rows` (text) with their words and the flags that the features are made of; null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.withColumns({"_tokens": tokens(clean_ml(F.col("text"))), **flags_of(text)})
+
+
+def with_terms(rows: DataFrame, longest: int = 2) -> DataFrame:
+    """`rows` (cleaned) with their terms, made at each use: runs of words are several times as long as the text."""
+    return rows.withColumn("terms", grams(F.col("_tokens"), longest))
+
+
 def prepared(rows: DataFrame, longest: int = 2) -> DataFrame:
     """`rows` (text) with the terms and the flags that the features are made of; null text is empty."""
-    text = F.coalesce("text", F.lit(""))
-    return rows.withColumns({"terms": grams(tokens(clean_ml(F.col("text"))), longest), **flags_of(text)})
+    return with_terms(cleaned(rows), longest)
 
 
 def feature_stages(rows: DataFrame, size: int = 15_000) -> list:
@@ -51,14 +60,11 @@ def feature_stages(rows: DataFrame, size: int = 15_000) -> list:
     The vocabulary of `rows` (prepared) is at most `size` terms, the most frequent, ties to the smaller; it goes to the
     driver, which gives it to the model.
     """
-    counts = rows.select(F.monotonically_increasing_id().alias("_row"), F.explode("terms").alias("term")).groupBy("_row", "term").agg(F.count("*").alias("tf"))
-    known = vocabulary(counts, size).select("term", "df").collect()
+    known = vocabulary(rows, F.col("terms"), size).select("term", "df").collect()
     n_rows = rows.count()
     idf = [math.log((1 + n_rows) / (1 + r["df"])) + 1 for r in known]
     return [
-        CountVectorizerModel.from_vocabulary([r["term"] for r in known] or [""], inputCol="terms", outputCol="counts"),
-        ElementwiseProduct(scalingVec=Vectors.dense(idf or [0.0]), inputCol="counts", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="words"),
+        *weighing([r["term"] for r in known], idf),
         VectorAssembler(inputCols=list(FLAG_NAMES), outputCol="flags"),
         MaxAbsScaler(inputCol="flags", outputCol="scaled"),
         VectorAssembler(inputCols=["words", "scaled"], outputCol="features"),
@@ -72,15 +78,25 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(counts.withColumn("weight", totals / F.col("_n")).drop("_n")), label)
 
 
+def learnable(train: DataFrame, label: str) -> DataFrame:
+    """The labelled rows of `train`, cleaned and written once: label, words and flags."""
+    return settled(cleaned(train.filter(F.col(label).isNotNull())).select(label, "_tokens", *FLAG_NAMES), "cleaned")
+
+
 def logistic(train: DataFrame, label: str, size: int = 15_000, longest: int = 2, weighted: bool = True) -> PipelineModel:
     """A multinomial logistic regression of `label` on the texts of `train`; vocabulary and weights are those of `train` alone."""
-    rows = prepared(train.filter(F.col(label).isNotNull()), longest)
-    rows = settled(balanced(rows, label) if weighted else rows.withColumn("weight", F.lit(1.0)), "prepared")
+    rows = with_terms(learnable(train, label), longest)
+    return fitted(rows, label, feature_stages(rows, size), weighted)
+
+
+def fitted(rows: DataFrame, label: str, stages: list, weighted: bool) -> PipelineModel:
+    """The regression on `rows` (learnable, with terms) by the stages that make their features."""
+    rows = balanced(rows, label) if weighted else rows.withColumn("weight", F.lit(1.0))
     index = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="error")
     fit = LogisticRegression(
         labelCol="target", weightCol="weight", family="multinomial", maxIter=ROUNDS, regParam=1.0 / (C * max(1, rows.count())), standardization=False
     )
-    return Pipeline(stages=[index, *feature_stages(rows, size), fit]).fit(rows)
+    return Pipeline(stages=[index, *stages, fit]).fit(rows)
 
 
 @dataclass
@@ -116,7 +132,8 @@ def boosted(train: DataFrame, label: str, judge: Column, size: int = 2_000, roun
     Trees are fitted by Spark, those of a round side by side; labels are few. Scores are written every SETTLED rounds, so
     the plan doesn't grow with the rounds.
     """
-    every = settled(prepared(train.filter(F.col(label).isNotNull())).withColumn("_judge", F.coalesce(judge, F.lit(False))), "prepared")
+    labelled = train.filter(F.col(label).isNotNull()).withColumn("_judge", F.coalesce(judge, F.lit(False)))
+    every = with_terms(settled(cleaned(labelled).select(label, "_judge", "_tokens", *FLAG_NAMES), "cleaned"))
     fitted_on = every.filter("NOT _judge")
     index = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip")
     model = Pipeline(stages=[index, *feature_stages(fitted_on, size)]).fit(fitted_on)
@@ -152,13 +169,18 @@ def labels_of(model: PipelineModel) -> list[str]:
 
 def probabilities(rows: DataFrame, model: PipelineModel, longest: int = 2) -> DataFrame:
     """`rows` with p_<label> for each label (small letters) and `predicted`, of a logistic model."""
+    told = told_of(prepared(rows, longest), model)
+    return told.select(*rows.columns, *(f"p_{name.lower()}" for name in labels_of(model)), "predicted")
+
+
+def told_of(scored: DataFrame, model: PipelineModel) -> DataFrame:
+    """`scored` (prepared) with p_<label> and `predicted`."""
     names = labels_of(model)
     told = vector_to_array("probability")
-    scored = prepared(rows, longest)
     for stage in model.stages[1:]:
         scored = stage.transform(scored)
     picked = F.array(*map(F.lit, names))[F.col("prediction").cast("int")]
-    return scored.select(*rows.columns, *(told[i].alias(f"p_{name.lower()}") for i, name in enumerate(names)), picked.alias("predicted"))
+    return scored.withColumns({**{f"p_{name.lower()}": told[i] for i, name in enumerate(names)}, "predicted": picked})
 
 
 def predictions(rows: DataFrame, model: Boosted) -> DataFrame:
@@ -206,10 +228,14 @@ def coefficients(model: PipelineModel, n: int = 20) -> DataFrame:
 
 def grid(train: DataFrame, test: DataFrame, label: str, longest: Sequence[int] = (1, 2), weighted: Mapping[str, bool] = {"none": False, "balanced": True}, size: int = 5_000) -> DataFrame:
     """ngrams, weights, rows and right of each combination: how many test rows each model gets right."""
+    learnt = learnable(train, label)
+    judged = settled(cleaned(test).select(label, "_tokens", *FLAG_NAMES), "judged")
     out = None
     for n in longest:
+        rows = with_terms(learnt, n)
+        stages = feature_stages(rows, size)
         for name, on in weighted.items():
-            told = probabilities(test, logistic(train, label, size, n, on), n)
+            told = told_of(with_terms(judged, n), fitted(rows, label, stages, on))
             right = F.count_if(F.col("predicted") == F.col(label))
             row = told.agg(F.count("*").alias("rows"), right.alias("right")).select(F.lit(n).alias("ngrams"), F.lit(name).alias("weights"), "rows", "right")
             out = row if out is None else out.unionByName(row)

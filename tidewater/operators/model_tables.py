@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators.features import BROADCAST_TERMS, term_counts, vocabulary, weighted
+from tidewater.operators.features import grams, known_counts, spread, tokens, vocabulary, weighted
 from tidewater.session import settled
 
 TERMS, FLAGS = "term string, idf double, weights array<double>", "flag string, scale double, weights array<double>"
@@ -49,10 +49,11 @@ def probabilities(rows: DataFrame, model: TextModel, key: str, cleaned: Column |
     joined, never collected: only sums by row meet.
     """
     text = F.coalesce("text", F.lit("")) if cleaned is None else cleaned
-    counts = term_counts(rows.select(key, text.alias("text")), key, longest=model.longest)
-    values = weighted_by(counts, model.terms, key, model.n_terms)
+    counts = known_counts(rows, grams(tokens(text), model.longest), key, model.terms, model.n_terms)
+    values = counts.join(spread(model.terms, model.n_terms), "term").withColumn("_w", F.col("tf") * F.col("idf"))
     width = range(len(model.labels))
-    sums = values.groupBy(key).agg(*(F.sum(F.col("value") * F.get("weights", F.lit(i))).alias(f"_m{i}") for i in width))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")))
+    sums = values.groupBy(key).agg(*((F.sum(F.col("_w") * F.get("weights", F.lit(i))) / length).alias(f"_m{i}") for i in width))
     by_flag = {r["flag"]: r for r in model.flags.collect()} if flags else {}  # as many as there are flags
     margins = []
     for i in width:
@@ -67,22 +68,15 @@ def probabilities(rows: DataFrame, model: TextModel, key: str, cleaned: Column |
     return told.withColumn("p", p).withColumn("predicted", best).drop("_margins")
 
 
-def weighted_by(counts: DataFrame, terms: DataFrame, key: str, n_terms: int) -> DataFrame:
-    """key, weights and value of each known term of a row: its frequency times idf, each row of length 1."""
-    known = counts.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    lengths = known.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_length"))
-    return known.join(lengths, key).select(key, "weights", (F.col("_w") / F.col("_length")).alias("value"))
-
-
 def bayes(train: DataFrame, key: str, label: str, size: int = 2_000, longest: int = 2, digits: int = 6) -> TextModel:
     """A naive Bayes model of weighted terms: weights are the logarithms of a term's share of a label's values, one added
     to each, and intercepts those of a label's share of rows. All in aggregates; rounded to so many digits."""
     rows = train.filter(F.col(label).isNotNull())
     n_rows = rows.count()
-    counts = term_counts(rows, key, longest=longest)
+    found = grams(tokens(F.col("text")), longest)
     # Both are used several times and have `size` rows, or so many a label; texts are read for them once each.
-    known = settled(vocabulary(counts, size), "vocabulary")
-    values = weighted(counts, known, key, n_rows, size).join(rows.select(key, label), key)
+    known = settled(vocabulary(rows, found, size), "vocabulary")
+    values = weighted(rows, found, key, known, n_rows, size, label)
     sums = settled(values.groupBy("term", label).agg(F.sum("value").alias("v")), "sums")
     shares = rows.groupBy(label).agg(F.count("*").alias("n")).join(sums.groupBy(label).agg(F.sum("v").alias("all")), label, "left").orderBy(label).collect()
     n_terms = known.count()

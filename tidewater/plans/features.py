@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import features as X
 from tidewater.plans.registry import Registry
-from tidewater.session import load
+from tidewater.session import load, settled
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -26,9 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def found() -> Column:
+    return X.grams(X.tokens(F.col("text")))
+
+
 @R.add("q_vocabulary", f"WITH {COUNTS_SQL} SELECT * FROM v")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.vocabulary(X.term_counts(documents(spark, sf_dir), "doc_id"), SIZE)
+    return X.vocabulary(documents(spark, sf_dir), found(), SIZE)
 
 
 @R.add("q_tfidf", f"WITH {COUNTS_SQL}, {VALUES_SQL} SELECT doc_id, term, round(value, 6) AS value FROM y")
@@ -50,8 +54,9 @@ def scaled_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def strongest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term's length stands for its weight."""
-    counts = X.term_counts(documents(spark, sf_dir), "doc_id")
-    terms = X.vocabulary(counts, SIZE)
-    rows = X.weighted(counts, terms, "doc_id", documents(spark, sf_dir).count(), SIZE)
+    docs = documents(spark, sf_dir)
+    # Read twice; SIZE rows.
+    terms = settled(X.vocabulary(docs, found(), SIZE), "vocabulary")
+    rows = X.weighted(docs, found(), "doc_id", terms, docs.count(), SIZE)
     weights = terms.select("term", F.char_length("term").cast("double").alias("weight"))
-    return X.strongest(rows, weights, "doc_id").select("doc_id", F.array_join("terms", "|").alias("terms"))
+    return X.strongest(rows, X.spread(weights, SIZE), "doc_id").select("doc_id", F.array_join("terms", "|").alias("terms"))
