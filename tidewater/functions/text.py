@@ -134,16 +134,25 @@ def risk_band(score: Column, suspicious: float = 40, dangerous: float = 70) -> C
 
 def script_language(text: Column) -> Column:
     """Language by the share of Cyrillic letters, Uzbek signs first."""
-    cyrillic = F.regexp_count(text, F.lit(r"[А-Яа-яЁёЎўҚқҒғҲҳ]"))
-    latin = F.regexp_count(text, F.lit(r"[A-Za-z]"))
-    total = cyrillic + latin
-    return (
-        F.when(F.trim(text) == "", "unknown")
-        .when(total == 0, "unknown")
-        .when(cyrillic / total >= 0.7, F.when(F.rlike(text, F.lit("[ЎўҚқҒғҲҳ]")), "uz").otherwise("ru"))
-        .when(latin / total >= 0.7, F.when(F.rlike(F.lower(text), F.lit("o['‘ʻ]|g['‘ʻ]")), "uz").otherwise("en"))
-        .otherwise("mixed")
-    )
+    def told(t: Column) -> Column:
+        # What is left without the other signs: a match a run of these, not one a letter.
+        cyrillic = F.char_length(F.regexp_replace(t, "[^А-Яа-яЁёЎўҚқҒғҲҳ]+", ""))
+        latin = F.char_length(F.regexp_replace(t, "[^A-Za-z]+", ""))
+        return F.struct(t.alias("text"), cyrillic.alias("cyrillic"), latin.alias("latin"))
+
+    def judged(row: Column) -> Column:
+        text, cyrillic, latin = row["text"], row["cyrillic"], row["latin"]
+        total = cyrillic + latin
+        return (
+            F.when(F.trim(text) == "", "unknown")
+            .when(total == 0, "unknown")
+            .when(cyrillic / total >= 0.7, F.when(F.rlike(text, F.lit("[ЎўҚқҒғҲҳ]")), "uz").otherwise("ru"))
+            .when(latin / total >= 0.7, F.when(F.rlike(F.lower(text), F.lit("o['‘ʻ]|g['‘ʻ]")), "uz").otherwise("en"))
+            .otherwise("mixed")
+        )
+
+    # Letters are counted once; each branch would count them again.
+    return F.get(F.transform(F.array(told(text)), judged), F.lit(0))
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
