@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import results as X
@@ -128,6 +128,21 @@ PATTERNS = {
     "Safe Greeting": "^(salom|hello|hi |hey|privet|привет|assalom)",
     "Safe Daily Chat": "(ko.rishamiz|see you|bugun|today|maroqli|yaxshi)",
 }
+#: Parts of which each match of the pattern has at least one: texts without them are not searched for it.
+NEEDED = {
+    "CVV/Card Request": ("cvv", "karta raqam", "card number", "номер карт"),
+    "Code/OTP Request": ("kod", "otp", "одноразов"),
+    "Account Blocked": ("block", "bloklan", "заблокир", "hisobingiz"),
+    "Prize/Lottery": ("yutuq", "yutib", "prize", "won", "lottery", "розыгрыш", "aksiya"),
+    "Financial Transfer": ("pul", "transfer", "перевод"),
+    "Fake Login/Verify": ("tasdiqlang", "verify", "confirm", "подтверд"),
+    "Urgency Pressure": ("shoshilinch", "urgent", "tezkor", "срочн", "hoziroq", "immediately"),
+    "Impersonation": ("bank xodim", "bank officer", "сотрудник банк", "administrat"),
+    "Job Scam": ("ish taklif", "job offer", "работа", "vakansiya"),
+    "Investment Scam": ("invest", "dividend", "крипт", "crypto", "bitcoin", "доход"),
+    "URL/Link Pattern": ("http", "www.", ".com/", ".net/", ".uz/", ".click", ".link"),
+    "Safe Daily Chat": ("rishamiz", "see you", "bugun", "today", "maroqli", "yaxshi"),
+}
 AMBIGUOUS = (
     ("(bank|karta|card|hisobingiz|account).{0,30}(xavfsiz|secure|safe|himoya|protect)", "mentions security but could be phishing or legit"),
     ("(tasdiqlang|confirm|verify).{0,20}(kod|code|parol|password)", "verification request - could be real or scam"),
@@ -139,6 +154,12 @@ AMBIGUOUS = (
 )
 
 
+def matches(low: Column, name: str) -> Column:
+    """Whether a text has the pattern; few texts have one of the parts that it needs."""
+    found = F.rlike(low, F.lit(PATTERNS[name]))
+    return T.contains_any(low, NEEDED[name]) & found if name in NEEDED else found
+
+
 @R.add(
     "q_pattern_counts",
     f"""WITH {MESSAGES_SQL} """
@@ -148,9 +169,8 @@ AMBIGUOUS = (
 )
 def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over the texts; three parts by id stand for the languages' data sets."""
-    low = F.lower("text")
-    rows = messages(spark, sf_dir).groupBy(F.pmod("id", F.lit(3)).alias("part"))
-    wide = rows.agg(*(F.count_if(F.rlike(low, F.lit(p))).alias(name) for name, p in PATTERNS.items()))
+    rows = messages(spark, sf_dir).select("id", F.lower("text").alias("low")).groupBy(F.pmod("id", F.lit(3)).alias("part"))
+    wide = rows.agg(*(F.count_if(matches(F.col("low"), name)).alias(name) for name in PATTERNS))
     return wide.unpivot("part", list(PATTERNS), "pattern", "n").select("pattern", "part", "n")
 
 
