@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,24 +99,32 @@ def by_automaton(bare: Column, text: Column, words: Mapping[str, Sequence[str]],
     always = bits.pop("", 0)
     spelled = [(1 << i, word) for i, name in enumerate(names) for word in capitals[name]]
 
-    @F.pandas_udf("array<string>")
-    def find(stripped_texts: pd.Series, texts: pd.Series) -> pd.Series:
+    def find(stripped_texts: pa.Array, *texts: pa.Array) -> pa.Array:
+        # Texts become Python strings one by one; those of a whole batch would be several times its size.
         automaton = ahocorasick.Automaton()
         for word, owners in bits.items():
             automaton.add_word(word, owners)
         automaton.make_automaton()
         out = []
-        for short, whole in zip(stripped_texts, texts):
+        for i, short in enumerate(stripped_texts):
             found = always
-            for _, owners in automaton.iter(short) if bits else ():
+            for _, owners in automaton.iter(short.as_py()) if bits else ():
                 found |= owners
+            whole = texts[0][i].as_py() if texts else None
             for owner, word in spelled:
                 if whole is not None and word in whole:
                     found |= owner
-            out.append([name for i, name in enumerate(names) if found >> i & 1])
-        return pd.Series(out, dtype=object)
+            out.append([name for k, name in enumerate(names) if found >> k & 1])
+        return pa.array(out, pa.list_(pa.string()))
 
-    return find(bare, text)
+    def of_both(stripped_texts: pa.Array, texts: pa.Array) -> pa.Array:
+        return find(stripped_texts, texts)
+
+    def of_one(stripped_texts: pa.Array) -> pa.Array:
+        return find(stripped_texts)
+
+    # The text itself is of use for keywords with capitals alone.
+    return F.arrow_udf(of_both, "array<string>")(bare, text) if spelled else F.arrow_udf(of_one, "array<string>")(bare)
 
 
 def by_pattern(bare: Column, text: Column, words: Mapping[str, Sequence[str]], capitals: Mapping[str, Sequence[str]]) -> Column:
