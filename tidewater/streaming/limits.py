@@ -6,6 +6,7 @@ time, then id, and its state is bounded by the rules themselves. Rows without a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 FIRST_NUMBER, REGISTRY_MS, REGISTRY_MOST = 10_000, 24 * 60 * 60 * 1000, 200
 SPACING_MS, BAND, ACTIVE_MOST = 3_000, (40, 70), 3
 CACHE_MS, CACHE_MOST, CACHE_EVICTED = 15 * 60 * 1000, 200, 50
+#: Groups that messages are dealt into by hash.
+MESSAGE_GROUPS = 1024
 #: Columns that every processor reads.
 INPUT = ("device", "id", "ms", "action", "item", "score")
 NAMES = "item string"
@@ -168,6 +171,52 @@ class SeenCache(Ordered):
         return repeated, counter
 
 
+class MessageRepeats(StatefulProcessor):
+    """Whether a message was seen within `age_ms` of its first time; repeats don't prolong it.
+
+    A key is a group of messages, whose first times are one value: reading and writing state costs a round trip a group
+    of a batch, not several a message. What has expired by the watermark leaves with the next rows or by a timer.
+    """
+
+    def __init__(self, age_ms: int = CACHE_MS) -> None:
+        self.age_ms = age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "firsts string")
+
+    def held(self) -> dict[str, int]:
+        return json.loads(self.seen.get()[0]) if self.seen.exists() else {}
+
+    def keep(self, held: dict[str, int], now: int) -> None:
+        held = {message: first for message, first in held.items() if now - first <= self.age_ms}
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.seen.update((json.dumps(held),))
+            self.handle.registerTimer(max(held.values()) + self.age_ms + 1)
+        else:
+            self.seen.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values(["ms", "id"], kind="stable")
+        held, told = self.held(), []
+        for message, ms in zip(every["device"], every["ms"].tolist()):
+            first = held.get(message)
+            told.append(first is not None and ms - first <= self.age_ms)
+            if not told[-1]:
+                held[message] = ms
+        self.keep(held, timerValues.getCurrentWatermarkInMs())
+        yield every[["device", "id", "ms"]].assign(repeated=told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.keep(self.held(), expiredTimerInfo.getExpiryTimeInMs())
+        yield pd.DataFrame({"device": [], "id": [], "ms": [], "repeated": []})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_rows(stream: DataFrame, device: Column, row_id: Column, ts: str, item: Column, action: Column | None = None, score: Column | None = None) -> DataFrame:
     """The columns that processors read; missing devices and items are empty strings. Rows without a time go."""
     return stream.filter(F.col(ts).isNotNull()).select(
@@ -185,3 +234,10 @@ def judged(rows: DataFrame, processor: Ordered, kind: str, late: str = "1 hour")
     """device, id, ms and the processor's result (of type `kind`) of each row of `stream_rows`, in append mode."""
     marked = rows.withWatermark("_time", late).groupBy("device")
     return marked.transformWithStateInPandas(processor, f"device string, id long, ms long, {processor.result} {kind}", "append", "eventTime")
+
+
+def repeats(rows: DataFrame, age_ms: int = CACHE_MS, groups: int = MESSAGE_GROUPS, late: str = "1 hour") -> DataFrame:
+    """device, id, ms and repeated of each row of `stream_rows` whose device is a message, in append mode."""
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("device"), F.lit(groups)).cast("int"))
+    marked = dealt.withWatermark("_time", late).groupBy("_group")
+    return marked.transformWithStateInPandas(MessageRepeats(age_ms), "device string, id long, ms long, repeated boolean", "append", "eventTime")
