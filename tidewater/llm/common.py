@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +99,8 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int) -> Da
 
 
 def release_memory() -> None:
-    """Gives freed memory back to the system at the end of a task, whose worker goes on to serve others."""
+    """Gives freed memory, Arrow's too, back to the system at the end of a task, whose worker goes on to serve others."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

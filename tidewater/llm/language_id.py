@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewater.llm.common import release_memory
 from tidewater.session import load
 
 LETTER = regex.compile(r"\p{L}")
@@ -262,6 +263,7 @@ def predict(docs: DataFrame, model: LanguageModel, least_similarity: float) -> D
                 rejected = [LETTER.search(t) is None for t in texts]
             made = [pa.array(languages, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score", "rejected"])
+        release_memory()
 
     base = docs.drop("lang_pred", "score", "rejected")
     schema = StructType([*base.schema.fields, *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])

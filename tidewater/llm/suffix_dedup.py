@@ -56,38 +56,57 @@ def cut(docs: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield close()
 
 
-def records(starts: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, start, end, anchor's start, key) of each record of a piece; key: 40 bits of the anchor's hash."""
-    text = np.frombuffer(data + bytes(8), np.uint8)
-    n = len(data) - ANCHOR + 1
-    words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(data), ), (1,))
-    hashes = words[:n] * M1
-    hashes += words[8 : n + 8] * M2
+#: Places of a piece that are hashed at once: what a hash needs is several times as long as the text.
+BLOCK = 1 << 16
+
+
+def hashed(words: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of anchors by their 8 bytes each at 0, 8 and 16."""
+    hashes = words * M1
+    hashes += middle * M2
     hashes ^= hashes >> np.uint64(31)
-    hashes += words[16 : n + 16] * M3
+    hashes += last * M3
     hashes ^= hashes >> np.uint64(29)
     hashes *= M4
     hashes ^= hashes >> np.uint64(32)
-    least = hashes & ~np.uint64((1 << PLACE_BITS) - 1)
-    least |= np.arange(n, dtype=np.uint64)
-    for step in (1, 2, 4, 8):
-        least = np.minimum(least[:-step], least[step:])
-    least = np.minimum(least[: -(SPAN - 16)], least[SPAN - 16 :])
-    anchors = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    return hashes
+
+
+def anchors_of(words: np.ndarray, n: int) -> np.ndarray:
+    """The anchor's start of each of the `n` strings of a piece; words: the 8 bytes from each place on."""
+    anchors = np.empty(n, np.int32)
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n) + SPAN - 1
+        least = hashed(words[a:b], words[a + 8 : b + 8], words[a + 16 : b + 16])
+        least &= ~np.uint64((1 << PLACE_BITS) - 1)
+        least |= np.arange(a, b, dtype=np.uint64)
+        for step in (1, 2, 4, 8):
+            least = np.minimum(least[:-step], least[step:])
+        least = np.minimum(least[: -(SPAN - 16)], least[SPAN - 16 :])
+        anchors[a : a + BLOCK] = least & np.uint64((1 << PLACE_BITS) - 1)
+    return anchors
+
+
+def records(starts: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, end, anchor's start, key) of each record of a piece; key: 40 bits of the anchor's hash."""
+    text = np.frombuffer(data + bytes(8), np.uint8)
+    words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(data), ), (1,))
+    anchors = anchors_of(words, len(data) - MATCH + 1)
     # Strings that lie in one segment.
     ends = np.append(starts[1:], len(data))
-    inside = np.zeros(len(data) + 1, np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends - MATCH + 1, -1)
-    inside = np.cumsum(inside)[: len(anchors)] > 0
+    step = np.zeros(len(anchors) + 1, np.int8)
+    step[starts] = 1
+    step[ends - MATCH + 1] = -1
+    inside = np.cumsum(step, dtype=np.int8)[: len(anchors)] > 0
     change = np.ones(len(anchors), bool)
     change[1:] = (anchors[1:] != anchors[:-1]) | ~inside[:-1]
     begin = np.flatnonzero(change & inside)
     stop = np.ones(len(anchors), bool)
     stop[:-1] = change[1:] | ~inside[1:]
     end = np.flatnonzero(stop & inside) + MATCH
-    key = (hashes[anchors[begin]] * M1) >> np.uint64(24)
-    return np.searchsorted(starts, begin, "right") - 1, begin, end, anchors[begin], key
+    anchor = anchors[begin].astype(np.int64)
+    key = (hashed(words[anchor], words[anchor + 8], words[anchor + 16]) * M1) >> np.uint64(24)
+    return np.searchsorted(starts, begin, "right") - 1, begin, end, anchor, key
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -210,7 +229,8 @@ def nominate(batches: Iterator[pd.DataFrame], n_buckets: int, remembered: int =
 
 
 def shared_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The keys of a partition's buckets that several documents have, told to each of these."""
+    """The keys of a partition's buckets that several documents have, told to each of these. Keys are sorted
+    by ranges, since a sort takes several times the memory of what it sorts."""
     keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for batch in batches:
         told = batch[batch["direct"]]
@@ -220,18 +240,44 @@ def shared_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = int.from_bytes(data[:4], "little")
             docs.append(np.repeat(np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u4", n, 4 + 8 * n)))
             keys.append(unpack_keys(data[4 + 12 * n :]))
-    key, doc = np.concatenate(keys), np.concatenate(docs)
+    # Each list goes before the next is joined.
+    key = np.concatenate(keys)
+    keys.clear()
+    doc = np.concatenate(docs)
+    docs.clear()
+    found = [shared_among(key[part], doc[part]) for part in ranges(key)]
+    if not found:
+        return
+    del key, doc
+    key, doc = (np.concatenate(x) for x in zip(*found))
+    found.clear()
+    order = np.argsort(doc, kind="stable")
+    key, doc = key[order], doc[order]
+    del order
+    cuts = runs(doc)
+    rows = [(int(doc[a]), pack_keys(key[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    yield pd.DataFrame(rows, columns=["doc", "data"])
+
+
+#: Keys that are sorted at once, about.
+SORTED = 1 << 17
+
+
+def ranges(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Where in `key` the keys of each range are, in order; ranges by the keys' upper bits, of about SORTED keys each."""
+    bits = (len(key) // SORTED).bit_length()
+    upper = (key >> np.uint64(KEY_BITS - bits)).astype(np.uint32)
+    for value in range(1 << bits if len(key) else 0):
+        yield np.flatnonzero(upper == value)
+
+
+def shared_among(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that several documents have, each with each of these."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     cuts = runs(key)
-    if len(key):
-        several = np.repeat(doc[cuts[:-1]] != doc[cuts[1:] - 1], np.diff(cuts))
-        key, doc = key[several], doc[several]
-        order = np.argsort(doc, kind="stable")
-        key, doc = key[order], doc[order]
-        cuts = runs(doc)
-        rows = [(int(doc[a]), pack_keys(key[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        yield pd.DataFrame(rows, columns=["doc", "data"])
+    several = np.repeat(doc[cuts[:-1]] != doc[cuts[1:] - 1], np.diff(cuts))
+    return key[several], doc[several]
 
 
 def file_records(batches: Iterator[pd.DataFrame], n_shards: int) -> Iterator[pd.DataFrame]:
@@ -583,6 +629,7 @@ def remove_repeats(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFra
             ]
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
     return unboxed(found.mapInArrow(run, apart.drop("null").schema), docs.columns)
 
@@ -608,6 +655,7 @@ def digests(docs: DataFrame, most_records: int = MOST_RECORDS) -> DataFrame:
                 hashes.append(hashlib.sha256(kept).hexdigest())
             numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs_)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(hashes, pa.string())], names)
+        release_memory()
 
     found = find_repeats(docs.select(F.col("doc_id").cast("long"), "text"), most_records)
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
