@@ -9,7 +9,7 @@ from tidewater.functions import text as T
 from tidewater.operators import checks as C
 from tidewater.operators.dedup import keep_first
 from tidewater.operators.features import TOKEN
-from tidewater.operators.near import close_pairs, drop_near, group_vectors
+from tidewater.operators.near import all_pairs, drop_near
 from tidewater.plans.messages import MESSAGES_SQL, any_sql, messages
 from tidewater.plans.registry import Registry
 from tidewater.session import load, settled
@@ -298,4 +298,4 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one label whose weighted words have a cosine beyond 0.95."""
     docs = labelled(spark, sf_dir).select("doc_id", "label", "text")
-    return close_pairs(settled(group_vectors(docs, "doc_id", "label", 5_000), "vectors"), "doc_id", "label", 0.95)
+    return all_pairs(docs, "doc_id", "label")
