@@ -91,3 +91,17 @@ def test_folded_vectors_lose_no_pair(monkeypatch):
         monkeypatch.setattr(N, "TILE", tile)
         found = [p for a, b in N.close_rows(every, every, idf, 0.9) for p in zip(a.tolist(), b.tolist())]
         assert len(found) == len(set(found)) and set(found) == expected and expected
+
+
+def test_dedup_in_rounds_is_in_row_order(spark, monkeypatch):
+    for name, value in (("FEW", 3), ("ROWS", 20), ("LEAST", 8)):
+        monkeypatch.setattr(N, name, value)
+    earlier, gone = {}, set()
+    for a, b in pairs(rows(), 50, 0.6):
+        earlier.setdefault(b, []).append(a)
+    for b in sorted(earlier):
+        if any(a not in gone for a in earlier[b]):
+            gone.add(b)
+    docs = spark.createDataFrame(rows(), "id long, text string, label string")
+    kept = {r["id"] for r in N.drop_near(docs, "id", "label", 0.6, 50).collect()}
+    assert kept == {i for i, _, _ in rows()} - gone and gone
