@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import MaxAbsScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tidewater.functions.text import URL_FLAG, clean_ml
+from tidewater.functions.text import URL_FLAG, clean_ml, spaced_ml
 from tidewater.operators import boosting
 from tidewater.operators import model_tables as T
+from tidewater.operators import terms as W
 from tidewater.operators.features import grams, tokens, vocabulary, weighing
-from tidewater.session import settled
+from tidewater.session import scratch, settled
 
 #: The strength that a coefficient's square is punished with (the inverse), and rounds of the fit.
 C, ROUNDS = 10.0, 100
@@ -40,7 +49,7 @@ def flags_of(text: Column) -> dict[str, Column]:
 def cleaned(rows: DataFrame) -> DataFrame:
     """`rows` (text) with their words and the flags that the features are made of; null text is empty."""
     text = F.coalesce("text", F.lit(""))
-    return rows.withColumns({"_tokens": tokens(clean_ml(F.col("text"))), **flags_of(text)})
+    return rows.withColumns({"_tokens": tokens(spaced_ml(F.col("text"))), **flags_of(text)})
 
 
 def with_terms(rows: DataFrame, longest: int = 2) -> DataFrame:
@@ -206,17 +215,71 @@ def coefficients(model: PipelineModel, n: int = 20) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "label string, term string, weight double, side string")
 
 
+def term_features(rows: DataFrame, keep: list[str], terms: Sequence[str], idf: Sequence[float], scales: Sequence[float], longest: int) -> DataFrame:
+    """`keep` and `features` of all `rows` (keep, group, words, flags), written once: what feature_stages makes, by batches."""
+    size, weights, by = len(terms) + len(FLAG_NAMES), np.array(idf), np.array(scales)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            many = pc.list_value_length(batch["places"]).to_numpy().astype(np.int64)
+            places, tf = (batch[c].flatten().to_numpy() for c in ("places", "tf"))
+            row = np.repeat(np.arange(n), many)
+            values = tf * weights[places]
+            values /= np.sqrt(np.bincount(row, values * values, n))[row]
+            flags = np.stack([batch[f].to_numpy() for f in FLAG_NAMES], axis=1) / by
+            # The flags come after a row's terms.
+            starts = np.append(0, np.cumsum(many + len(FLAG_NAMES)))
+            at = np.arange(len(row)) + row * len(FLAG_NAMES)
+            behind = (starts[1:, None] - len(FLAG_NAMES) + np.arange(len(FLAG_NAMES))).ravel()
+            indices, filled = np.empty(starts[-1], np.int32), np.empty(starts[-1])
+            indices[at], filled[at] = places, values
+            indices[behind], filled[behind] = np.tile(np.arange(size - len(FLAG_NAMES), size), n), flags.ravel()
+            offsets = pa.array(starts, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (indices, filled)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *lists], [*keep, "indices", "values"])
+
+    known = W.known_terms(rows, [*keep, *FLAG_NAMES], "_all", {"": list(terms)}, longest, every=True)
+    shape = StructType([*(rows.schema[c] for c in keep), *StructType.fromDDL("indices array<int>, values array<double>").fields])
+    made = known.mapInArrow(vectors, shape)
+    # A sparse vector as Spark keeps it.
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), "indices", "values")
+    path = scratch(rows.sparkSession, "features")
+    made.select(*keep, parts.alias("features")).write.parquet(path)
+    return rows.sparkSession.read.schema(StructType([*(rows.schema[c] for c in keep), StructField("features", VectorUDT())])).parquet(path)
+
+
 def grid(train: DataFrame, test: DataFrame, label: str, longest: Sequence[int] = (1, 2), weighted: Mapping[str, bool] = {"none": False, "balanced": True}, size: int = 5_000) -> DataFrame:
-    """ngrams, weights, rows and right of each combination: how many test rows each model gets right."""
-    learnt = learnable(train, label)
-    judged = settled(cleaned(test).select(label, "_tokens", *FLAG_NAMES), "judged")
-    out = None
+    """ngrams, weights, rows and right of each combination: how many test rows each model gets right.
+
+    Words are cut once, terms counted in batches, and the features of a length of runs are written once for all fits on
+    them, so that a fit reads numbers alone. The models of one length are fitted side by side.
+    """
+    worded = [W.joined(F.col("_tokens")).alias("words"), F.lit("").alias("_all"), *FLAG_NAMES]
+    learnt = settled(cleaned(train.filter(F.col(label).isNotNull())).select(label, *worded), "cleaned")
+    judged = settled(cleaned(test).select(label, *worded), "judged")
+    counts = {r[label]: r["count"] for r in learnt.groupBy(label).count().collect()}
+    names, n_rows = sorted(counts), sum(counts.values())
+    scales = [x or 1.0 for x in learnt.agg(*(F.max(F.abs(F.col(f))) for f in FLAG_NAMES)).first()]
+
+    def by_label(values: Sequence[float]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in zip(names, values) for x in pair))[F.col(label)]
+
+    def judge(n: int, name: str, rows: DataFrame, seen: DataFrame) -> tuple[int, str, int, int]:
+        weights = [n_rows / len(names) / counts[c] if weighted[name] else 1.0 for c in names]
+        targets = by_label([float(i) for i in range(len(names))])
+        fit = LogisticRegression(
+            labelCol="target", weightCol="weight", family="multinomial", maxIter=ROUNDS, regParam=1.0 / (C * max(1, n_rows)), standardization=False
+        )
+        model = fit.fit(rows.select(targets.alias("target"), by_label(weights).alias("weight"), "features"))
+        told = model.transform(seen.select(targets.alias("target"), "features"))
+        return n, name, *told.agg(F.count("*"), F.count_if(F.col("prediction") == F.col("target"))).first()
+
+    out = []
     for n in longest:
-        rows = with_terms(learnt, n)
-        stages = feature_stages(rows, size)
-        for name, on in weighted.items():
-            told = told_of(with_terms(judged, n), fitted(rows, label, stages, on))
-            right = F.count_if(F.col("predicted") == F.col(label))
-            row = told.agg(F.count("*").alias("rows"), right.alias("right")).select(F.lit(n).alias("ngrams"), F.lit(name).alias("weights"), "rows", "right")
-            out = row if out is None else out.unionByName(row)
-    return out
+        known = W.frequent(learnt, "_all", size, n).get("", [])
+        terms, idf = [t for t, _, _ in known], [math.log((1 + n_rows) / (1 + df)) + 1 for _, _, df in known]
+        made = [term_features(rows, [label], terms, idf, scales, n) for rows in (learnt, judged)]
+        with ThreadPoolExecutor(len(weighted)) as pool:
+            out += list(pool.map(lambda f: f(), [inheritable_thread_target(train.sparkSession)(partial(judge, n, name, *made)) for name in weighted]))
+    return train.sparkSession.createDataFrame(out, "ngrams int, weights string, rows long, right long")

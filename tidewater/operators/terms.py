@@ -54,10 +54,11 @@ def numbered(words: pa.ChunkedArray) -> Numbered:
     return Numbered(coded.dictionary, coded.indices.to_numpy().astype(np.int64), rows)
 
 
-def slices(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[str, pa.Table]]:
-    """Rows of one group at a time, a few; rows without words or group are left out."""
+def slices(batches: Iterator[pa.RecordBatch], group: str, every: bool = False) -> Iterator[tuple[str, pa.Table]]:
+    """Rows of one group at a time, a few; rows without words, but for `every`, or group are left out."""
     for batch in batches:
-        table = pa.Table.from_batches([batch]).filter(pc.field("words") != "")
+        table = pa.Table.from_batches([batch])
+        table = table if every else table.filter(pc.field("words") != "")
         for value in pc.unique(table[group]).to_pylist():
             own = table.filter(pc.field(group) == pa.scalar(value, table.schema.field(group).type))
             ends, start = np.cumsum(pc.binary_length(own["words"]).to_numpy(), dtype=np.int64), 0
@@ -155,13 +156,13 @@ def counted(docs: DataFrame, group: str, size: int, longest: int, totals: dict[s
     return found
 
 
-def known_terms(docs: DataFrame, keep: list[str], group: str, vocabulary: dict[str, list[str]], longest: int = 2) -> DataFrame:
-    """`keep`, group, places, tf and same of each row of `docs` (these, words) with known terms: the places of its terms in
+def known_terms(docs: DataFrame, keep: list[str], group: str, vocabulary: dict[str, list[str]], longest: int = 2, every: bool = False) -> DataFrame:
+    """`keep`, group, places, tf and same of each row of `docs` (these, words) with known terms, or of `every` row: the places of its terms in
     its group's vocabulary, ascending, and how often they occur, as arrays, and a digest of both."""
     lists = {g: pa.array(terms, pa.string()) for g, terms in vocabulary.items()}
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, rows in slices(batches, group):
+        for value, rows in slices(batches, group, every):
             words, terms = numbered(rows["words"]), lists.get(value, pa.array([], pa.string()))
             size, many = max(1, len(terms)), len(words.names)
             single = pc.fill_null(pc.index_in(words.names, terms), -1).to_numpy().astype(np.int64)
@@ -186,7 +187,8 @@ def known_terms(docs: DataFrame, keep: list[str], group: str, vocabulary: dict[s
                     right = codes[at] == code
                     parts.append(row[on][right] * size + pairs[at[right]])
             both, times = np.unique(np.concatenate(parts), return_counts=True)
-            there, starts = np.unique(both // size, return_index=True)
+            there = np.arange(rows.num_rows) if every else np.unique(both // size)
+            starts = np.searchsorted(both // size, there)
             offsets = np.append(starts, len(both)).astype(np.int32)
             places, times = (both % size).astype(np.int32), times.astype(np.int32)
             same = [blake2b(places[a:b].tobytes() + times[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
